@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from kindred.llm.exact_dedup import OP7_SQL, op7_exact_dedup
+from kindred.llm.quality_rules import op3_quality_rules
 
 
 def queries():
-    return {"op7_exact_dedup": op7_exact_dedup}
+    return {
+        "op3_quality_rules": op3_quality_rules,
+        "op7_exact_dedup": op7_exact_dedup,
+    }
 
 
 def oracle_sql():
