@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from kindred.llm.exact_dedup import OP7_SQL, op7_exact_dedup
+from kindred.llm.line_dedup import OP1_SQL, op1_line_dedup
 from kindred.llm.quality_rules import op3_quality_rules
 
 
 def queries():
     return {
+        "op1_line_dedup": op1_line_dedup,
         "op3_quality_rules": op3_quality_rules,
         "op7_exact_dedup": op7_exact_dedup,
     }
 
 
 def oracle_sql():
-    return {"op7_exact_dedup": OP7_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op7_exact_dedup": OP7_SQL}
