@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from kindred.llm.bpe import op4_bpe
 from kindred.llm.exact_dedup import OP7_SQL, op7_exact_dedup
 from kindred.llm.line_dedup import OP1_SQL, op1_line_dedup
+from kindred.llm.packing import op9_packing
 from kindred.llm.quality_rules import op3_quality_rules
 
 
@@ -11,7 +13,9 @@ def queries():
     return {
         "op1_line_dedup": op1_line_dedup,
         "op3_quality_rules": op3_quality_rules,
+        "op4_bpe": op4_bpe,
         "op7_exact_dedup": op7_exact_dedup,
+        "op9_packing": op9_packing,
     }
 
 
