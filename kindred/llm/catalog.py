@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from kindred.llm.bpe import op4_bpe
 from kindred.llm.exact_dedup import OP7_SQL, op7_exact_dedup
+from kindred.llm.language_id import op2_language_id
 from kindred.llm.line_dedup import OP1_SQL, op1_line_dedup
 from kindred.llm.packing import op9_packing
 from kindred.llm.quality_rules import op3_quality_rules
@@ -12,6 +13,7 @@ from kindred.llm.quality_rules import op3_quality_rules
 def queries():
     return {
         "op1_line_dedup": op1_line_dedup,
+        "op2_language_id": op2_language_id,
         "op3_quality_rules": op3_quality_rules,
         "op4_bpe": op4_bpe,
         "op7_exact_dedup": op7_exact_dedup,

@@ -90,3 +90,31 @@ def table_of(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
         return spark.range(0).select(*[F.lit(None).cast(t).alias(n) for n, t in kinds])
     lits = [F.struct(*[F.lit(v).cast(t).alias(n) for v, (n, t) in zip(r, kinds)]) for r in rows]
     return spark.range(1, numPartitions=1).select(F.inline(F.array(*lits)))
+
+
+def slices(b, column: int, chars: int = 1 << 20):
+    """Slices of a record batch whose texts (in that column) have about `chars` bytes at most, or one row."""
+    each = b.column(column).nbytes // max(1, b.num_rows)
+    step = max(1, min(512, chars // max(1, each)))
+    for i in range(0, b.num_rows, step):
+        yield b.slice(i, step)
+
+
+def filter_rows(docs: DataFrame, text: str, judge) -> DataFrame:
+    """The rows of docs, with all their columns, for whose text judge() says so.
+
+    judge is called once per task and gives a function from a list of texts (null as empty) to booleans.
+    """
+    import pyarrow as pa
+
+    at, schema = docs.columns.index(text), docs.schema
+
+    def run(batches):
+        good = judge()
+        for b in batches:
+            for s in slices(b, at):
+                texts = [t or "" for t in s.column(at).cast(pa.string()).to_pylist()]
+                yield s.filter(pa.array([bool(x) for x in good(texts)], pa.bool_()))
+
+    prepare(docs.sparkSession)
+    return docs.mapInArrow(run, schema)
