@@ -8,6 +8,7 @@ from kindred.llm.language_id import op2_language_id
 from kindred.llm.line_dedup import OP1_SQL, op1_line_dedup
 from kindred.llm.packing import op9_packing
 from kindred.llm.quality_rules import op3_quality_rules
+from kindred.llm.toxicity import op8_toxicity
 
 
 def queries():
@@ -17,6 +18,7 @@ def queries():
         "op3_quality_rules": op3_quality_rules,
         "op4_bpe": op4_bpe,
         "op7_exact_dedup": op7_exact_dedup,
+        "op8_toxicity": op8_toxicity,
         "op9_packing": op9_packing,
     }
 
