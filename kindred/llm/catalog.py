@@ -7,6 +7,7 @@ from kindred.llm.exact_dedup import OP7_SQL, op7_exact_dedup
 from kindred.llm.language_id import op2_language_id
 from kindred.llm.line_dedup import OP1_SQL, op1_line_dedup
 from kindred.llm.packing import op9_packing
+from kindred.llm.quality_classifier import op10_quality_classifier
 from kindred.llm.quality_rules import op3_quality_rules
 from kindred.llm.toxicity import op8_toxicity
 
@@ -20,6 +21,7 @@ def queries():
         "op7_exact_dedup": op7_exact_dedup,
         "op8_toxicity": op8_toxicity,
         "op9_packing": op9_packing,
+        "op10_quality_classifier": op10_quality_classifier,
     }
 
 
