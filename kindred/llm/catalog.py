@@ -6,6 +6,7 @@ from kindred.llm.bpe import op4_bpe
 from kindred.llm.exact_dedup import OP7_SQL, op7_exact_dedup
 from kindred.llm.language_id import op2_language_id
 from kindred.llm.line_dedup import OP1_SQL, op1_line_dedup
+from kindred.llm.near_dedup import op5_near_dedup
 from kindred.llm.packing import op9_packing
 from kindred.llm.quality_classifier import op10_quality_classifier
 from kindred.llm.quality_rules import op3_quality_rules
@@ -18,6 +19,7 @@ def queries():
         "op2_language_id": op2_language_id,
         "op3_quality_rules": op3_quality_rules,
         "op4_bpe": op4_bpe,
+        "op5_near_dedup": op5_near_dedup,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_toxicity": op8_toxicity,
         "op9_packing": op9_packing,

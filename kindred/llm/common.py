@@ -3,54 +3,15 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kindred.plans.storage import discard, materialize, shared_root  # noqa: F401
+
 #: Words everywhere in this subpackage: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_ROOTS: dict[str, str] = {}
-
-
-def shared_root(spark: SparkSession) -> str:
-    """Folder that the driver and all executors share: spark.checkpoint.dir.
-
-    Only a session without that setting (a local test session) gets a folder of its own.
-    """
-    app = spark.sparkContext.applicationId
-    if app not in _ROOTS:
-        root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-        if not root:
-            root = "file://" + tempfile.mkdtemp(prefix="corpus-")
-        _ROOTS[app] = f"{root.rstrip('/')}/corpus-{app}"
-    return _ROOTS[app]
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back.
-
-    This cuts the lineage: a lost executor costs no more than the tasks that it ran, and
-    values that depend on the order of rows (generated ids) are fixed once and for all.
-    """
-    path = f"{shared_root(df.sparkSession)}/{tag}-{uuid.uuid4().hex[:12]}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.shared_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a table made by materialize() that nothing reads any more."""
-    path = getattr(df, "shared_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def prepare(spark: SparkSession) -> None:
     """Let Python workers import this package (a cluster installs it or gets --py-files)."""
     here = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
