@@ -5,6 +5,7 @@ from __future__ import annotations
 from kindred.llm.bpe import op4_bpe
 from kindred.llm.exact_dedup import OP7_SQL, op7_exact_dedup
 from kindred.llm.language_id import op2_language_id
+from kindred.llm.language_model import op6_lm_score
 from kindred.llm.line_dedup import OP1_SQL, op1_line_dedup
 from kindred.llm.near_dedup import op5_near_dedup
 from kindred.llm.packing import op9_packing
@@ -20,6 +21,7 @@ def queries():
         "op3_quality_rules": op3_quality_rules,
         "op4_bpe": op4_bpe,
         "op5_near_dedup": op5_near_dedup,
+        "op6_lm_score": op6_lm_score,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_toxicity": op8_toxicity,
         "op9_packing": op9_packing,
