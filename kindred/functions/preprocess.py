@@ -78,8 +78,16 @@ def remove_stopwords(words: list[str] | None = None, language: str = "english")
     if not words and language != "english":
         raise ValueError(f"there is no built-in list for {language!r}; give words=")
     chosen = words or ENGLISH
-    pattern = r"\b(" + "|".join(re.sub(r"([^\w\s])", r"\\\1", w) for w in chosen) + r")\b"
-    return Preprocessor(f"remove_stopwords({len(chosen)} words)", lambda c: F.regexp_replace(c, pattern, ""))
+    quoted = lambda w: re.sub(r"([^\w\s])", r"\\\1", w)
+    # Word boundaries of ASCII letters, digits and _, stated as what may stand on either side.
+    edge = lambda inside, mark: f"(?<{mark}\\w)" if inside else f"(?{mark}\\w)"
+    plain = [w for w in chosen if re.match(r"\w", w, re.A) and re.search(r"\w$", w, re.A)]
+    odd = [w for w in chosen if w and w not in plain]
+    ends = lambda w: (edge(True, "!" if re.match(r"\w", w, re.A) else "="), edge(False, "!" if re.search(r"\w$", w, re.A) else "="))
+    parts = [f"{ends('a')[0]}(?:{'|'.join(map(quoted, plain))}){ends('a')[1]}"] if plain else []
+    parts += [f"{ends(w)[0]}{quoted(w)}{ends(w)[1]}" for w in odd]
+    pattern = "|".join(parts)
+    return Preprocessor(f"remove_stopwords({len(chosen)} words)", lambda c: F.regexp_replace(c, pattern, "") if pattern else c)
 
 
 _TITLES = set("mr mrs ms miss mx dr prof professor sir madam dame lord lady rev reverend hon judge capt captain col colonel gen general lt sgt father sister brother".split())

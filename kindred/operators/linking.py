@@ -1,8 +1,9 @@
 """From rules to groups of rows, as DataFrame plans.
 
-A rule turns keys (rid, __block, columns) into groups: (rid, __block, g), rows with equal g being alike. Exact and
-key rules use the value itself as g and predicates a constant; the others collapse equal values first, relate distinct
-values by a candidate join, and take the connected component as g. Payload columns never enter these plans.
+A rule turns keys (rid, __block, cid, columns) into groups: (rid, __block, cid, g), rows with equal g being alike. Exact
+and key rules use the value itself as g and predicates a constant; the others collapse equal values first, relate distinct
+values by a candidate join, and take the connected component as g. Payload columns never enter these plans, and a
+text travels with its rows as a digest only.
 """
 
 from __future__ import annotations
@@ -82,18 +83,20 @@ def close(links: DataFrame) -> DataFrame:
     return links.sparkSession.createDataFrame(pd.DataFrame(rows, columns=["node", "root"], dtype="int64"), "node long, root long")
 
 
-def _collapsed(keys: DataFrame, value: Column) -> tuple[DataFrame, DataFrame]:
-    """Rows (rid, __block, v), and distinct values (__block, v, node, n): node is the first row, n the rows."""
-    rows = keys.select("rid", "__block", value.alias("v"))
-    return rows, materialize(rows.groupBy("__block", "v").agg(F.min("rid").alias("node"), F.count("*").alias("n")), "values")
+def _collapsed(keys: DataFrame, value: Column, text: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Rows (rid, __block, cid, k), and distinct values (__block, k, v, node, n): node is the first row, n the rows."""
+    valued = keys.select("rid", "__block", "cid", value.alias("v"))
+    valued = valued.withColumn("k", F.unhex(F.sha2("v", 256)) if text else F.col("v"))
+    values = valued.groupBy("__block", "k").agg(F.min("rid").alias("node"), F.count("*").alias("n"), F.first("v").alias("v"))
+    return valued.drop("v"), materialize(values, "values")
 
 
 def _grouped(rows: DataFrame, values: DataFrame, roots: DataFrame, alone: Column | None = None) -> DataFrame:
     """Rows with the root of their value; where `alone` holds, rows of one value aren't alike."""
-    found = values.join(roots, F.col("node") == F.col("of"), "left") if "of" in roots.columns else values.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
-    found = found.select("__block", "v", F.coalesce("root", "node").alias("root"), (alone if alone is not None else F.lit(False)).alias("alone"))
-    rooted = rows.alias("r").join(found.alias("f"), F.col("r.__block").eqNullSafe(F.col("f.__block")) & F.col("r.v").eqNullSafe(F.col("f.v")), "left")
-    return rooted.select("r.rid", "r.__block", F.when(F.col("f.alone"), F.col("r.rid")).otherwise(F.col("f.root")).alias("g"))
+    found = values.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
+    found = found.select("__block", "k", F.coalesce("root", "node").alias("root"), (alone if alone is not None else F.lit(False)).alias("alone"))
+    rooted = rows.alias("r").join(found.alias("f"), F.col("r.__block").eqNullSafe(F.col("f.__block")) & F.col("r.k").eqNullSafe(F.col("f.k")))
+    return rooted.select("r.rid", "r.__block", "r.cid", F.when(F.col("f.alone"), F.col("r.rid")).otherwise(F.col("f.root")).alias("g"))
 
 
 def _tiled(values: DataFrame, function, size: Column | None = None, ratio: float = 0.0) -> DataFrame:
@@ -150,7 +153,7 @@ def _cosine(keys, columns, schema, threshold):
         value = F.array(*[number(F.col(f"`{c}`")) for c in columns])
     big = float(np.finfo(np.float64).max)
     value = F.transform(value, lambda x: F.greatest(F.lit(-big), F.least(F.lit(big), x)))
-    rows, values = _collapsed(keys, value)
+    rows, values = _collapsed(keys, value, False)
 
     def unit(vectors):
         m = np.array([np.asarray(v, np.float64) for v in vectors]).reshape(len(vectors), -1)
@@ -180,6 +183,8 @@ def _token(c: Column, kind: T.DataType) -> Column:
     """A value as text that tells kinds apart; equal numbers and booleans are equal whatever their type."""
     if isinstance(kind, T.BooleanType):
         return F.concat(F.lit("n:"), c.cast("int").cast("double").cast("string"))
+    if isinstance(kind, (T.DoubleType, T.FloatType)):  # NaN equals nothing, the zeros are equal
+        return F.when(F.isnan(c), F.concat(F.lit("nan:"), F.col("rid").cast("string"))).otherwise(F.concat(F.lit("n:"), (c.cast("double") + 0.0).cast("string")))
     if isinstance(kind, T.NumericType):
         return F.concat(F.lit("n:"), c.cast("double").cast("string"))
     return F.concat(F.lit(f"{kind.typeName()}:"), c.cast("string"))
@@ -188,7 +193,7 @@ def _token(c: Column, kind: T.DataType) -> Column:
 def _jaccard(keys, columns, schema, threshold):
     tokens = F.array(*[_token(F.col(f"`{c}`"), schema[c].dataType) for c in columns])
     value = F.array_sort(F.array_distinct(F.filter(tokens, lambda x: x.isNotNull())))
-    rows, values = _collapsed(keys, value)
+    rows, values = _collapsed(keys, value, False)
     empty = F.size("v") == 0
     often = values.select("__block", F.explode("v").alias("token")).groupBy("__block", "token").count()
     posts = values.select("__block", "node", F.size("v").alias("size"), F.explode("v").alias("token")).alias("p")
@@ -226,8 +231,12 @@ def _tfidf(keys, value, threshold, ngram, topn):
     cleaned = F.regexp_replace(F.lower(value), r"(?U)\s\s+", " ")
     rows, values = _collapsed(keys, cleaned)
     totals = rows.groupBy("__block").agg(F.count("*").alias("total"))
-    pieces = [F.transform(F.sequence(F.lit(1), F.length("v") - (n - 1)), lambda i, n=n: F.substring("v", i, F.lit(n))) for n in range(ngram[0], ngram[1] + 1)]
-    pieces = [F.when(F.length("v") >= n, p).otherwise(F.array().cast("array<string>")) for n, p in zip(range(ngram[0], ngram[1] + 1), pieces)]
+    sizes = range(ngram[0], ngram[1] + 1)
+
+    def cut(n):
+        return F.when(F.length("v") >= n, F.transform(F.sequence(F.lit(1), F.length("v") - (n - 1)), lambda i: F.substring("v", i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    pieces = [cut(n) for n in sizes]
     grams = values.select("__block", "node", "n", F.explode(F.concat(*pieces)).alias("gram")).groupBy("__block", "node", "n", "gram").agg(F.count("*").alias("tf"))
     grams = materialize(grams, "grams")
     idf = grams.groupBy("__block", "gram").agg(F.sum("n").alias("df")).alias("i").join(totals.alias("t"), F.col("i.__block").eqNullSafe(F.col("t.__block")))
@@ -241,7 +250,7 @@ def _tfidf(keys, value, threshold, ngram, topn):
     scores = met.groupBy(F.col("a.node").alias("u"), F.col("b.node").alias("v")).agg(F.round(F.sum(F.col("a.w") * F.col("b.w")), 9).alias("score")).where(F.col("score") > threshold)
     # A row's slots go to the best rows; rows of one value have the same score, so a value takes as many as it has rows.
     counted = scores.join(values.select(F.col("node").alias("v"), "n"), "v")
-    own = Window.partitionBy("u").orderBy(F.desc("score"), (F.col("u") != F.col("v")).cast("int"), "v").rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy("u").orderBy(F.desc("score"), "v").rowsBetween(Window.unboundedPreceding, -1)
     links = counted.withColumn("before", F.coalesce(F.sum("n").over(own), F.lit(0))).where(F.col("before") < topn).select("u", "v")
     short = F.length("v") < ngram[0]
     return _grouped(rows, values, close(links), short)
@@ -263,11 +272,11 @@ def _pairs(keys, columns, value, rule):
 
 
 def _of_rows(keys: DataFrame, roots: DataFrame) -> DataFrame:
-    return keys.select("rid", "__block").join(roots, F.col("rid") == F.col("node"), "left").select("rid", "__block", F.coalesce("root", "rid").alias("g"))
+    return keys.select("rid", "__block", "cid").join(roots, F.col("rid") == F.col("node"), "left").select("rid", "__block", "cid", F.coalesce("root", "rid").alias("g"))
 
 
-def _theta(keys, value, rule):
-    rows, values = _collapsed(keys, value)
+def _theta(keys, columns, value, rule):
+    rows, values = _collapsed(keys, value if value is not None else F.struct(*[F.col(f"`{c}`") for c in columns]), value is not None)
     a, b = values.alias("a"), values.alias("b")
     holds = rule.args["function"](F.col("a.v"), F.col("b.v"), **rule.args["settings"])
     links = a.join(b, F.col("a.__block").eqNullSafe(F.col("b.__block")) & (F.col("a.node") < F.col("b.node")) & holds).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
@@ -275,20 +284,26 @@ def _theta(keys, value, rule):
     return _grouped(rows, values, close(links), alone)
 
 
-def groups(rule: Rule, columns, preprocessors, keys: DataFrame, placeholder: str) -> DataFrame:
-    """(rid, __block, g) of the rows of keys that can be alike under the rule."""
-    rule.check(columns)
-    a, schema = rule.args, keys.schema
-    if rule.predicate:
-        return keys.where(predicate_mask(rule, columns, preprocessors, placeholder, schema)).select("rid", "__block", F.lit(1).alias("g"))
+def own_key(rule: Rule, columns, preprocessors, placeholder: str) -> Column | None:
+    """What rows must have in common, for rules that need no look at other rows; a null key is alike to nothing."""
     value = text_of(columns, preprocessors, placeholder) if isinstance(columns, str) else None
     if rule.kind == "exact":
         # Long texts travel as digests.
-        g = F.unhex(F.sha2(value, 256)) if value is not None else F.struct(*[F.col(f"`{c}`") for c in columns])
-        return keys.select("rid", "__block", g.alias("g"))
+        return F.unhex(F.sha2(value, 256)) if value is not None else F.struct(*[F.col(f"`{c}`") for c in columns])
     if rule.kind == "key":
-        g = a["function"](value if value is not None else F.struct(*[F.col(f"`{c}`") for c in columns]), **a["settings"])
-        return keys.select("rid", "__block", g.alias("g")).where("g IS NOT NULL")
+        return rule.args["function"](value if value is not None else F.struct(*[F.col(f"`{c}`") for c in columns]), **rule.args["settings"])
+    return None
+
+
+def groups(rule: Rule, columns, preprocessors, keys: DataFrame, placeholder: str) -> DataFrame:
+    """(rid, __block, cid, g) of the rows of keys that can be alike under the rule."""
+    a, schema = rule.args, keys.schema
+    if rule.predicate:
+        return keys.where(predicate_mask(rule, columns, preprocessors, placeholder, schema)).select("rid", "__block", "cid", F.lit(1).alias("g"))
+    own = own_key(rule, columns, preprocessors, placeholder)
+    if own is not None:
+        return keys.select("rid", "__block", "cid", own.alias("g")).where("g IS NOT NULL")
+    value = text_of(columns, preprocessors, placeholder) if isinstance(columns, str) else None
     if rule.kind == "fuzzy":
         return _fuzzy(keys, value, a["threshold"], a["scorer"])
     if rule.kind == "tfidf":
@@ -300,5 +315,5 @@ def groups(rule: Rule, columns, preprocessors, keys: DataFrame, placeholder: str
     if rule.kind == "cosine":
         return _cosine(keys, columns, schema, a["threshold"])
     if rule.kind == "theta":
-        return _theta(keys, value, rule)
+        return _theta(keys, columns, value, rule)
     return _pairs(keys, columns, value, rule)
