@@ -80,7 +80,26 @@ class _Counts:
 
 
 def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns (lengths of a sequence's pieces, number of such sequences) that use up all counts."""
+    """Patterns (lengths of a sequence's pieces, number of such sequences) that use up all counts.
+
+    Where short pieces are scarce, complements of several of them cost more sequences than they save. So plans whose
+    complements are triples, pairs and singles, pairs and singles, singles only, or none are made in turn, up to the first that
+    no plan can beat; the one with the fewest sequences is taken.
+    """
+    least = -(-sum(k * n for k, n in counts.items()) // size)
+    best: tuple[int, list] | None = None
+    for most in (3, 2, 1, 0):
+        made = _plan(counts, size, most)
+        used = sum(n for _, n in made)
+        if best is None or used < best[0]:
+            best = (used, made)
+        if best[0] == least:
+            break
+    return best[1]
+
+
+def _plan(counts: dict[int, int], size: int, most: int) -> list[tuple[tuple[int, ...], int]]:
+    """A plan in which exact complements have `most` pieces at most."""
     c = np.zeros(size + 1, np.int64)
     for length, n in counts.items():
         c[length] = n
@@ -94,7 +113,7 @@ def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...]
             gap = size - length
             # The piece itself is set aside while its complement is looked for.
             c[length] -= 1
-            found = (gap,) if c[gap] > 0 else left.pair(gap) or left.triple(gap)
+            found = (gap,) if most and c[gap] > 0 else (most > 1 and left.pair(gap)) or (most > 2 and left.triple(gap))
             c[length] += 1
             n = left.take((length, *found), 1 << 60) if found else 0
             if not n:
