@@ -1,16 +1,50 @@
-"""Connected components by alternating large-star and small-star rounds.
+"""Connected components: forests within tasks, then alternating large-star and small-star rounds.
 
-Every round is two joins and two aggregations on edges; min() is aggregated before the shuffle, and the joins are
-against one row per node, so a node with very many neighbours can be split. Rounds are written to shared storage. The
-number of rounds grows with the logarithm of the longest path.
+Each task first joins the nodes of its own edges (union-find, FOREST nodes at a time) and passes on one edge per node, which
+keeps what is connected. What several tasks hold of a component is joined by the star rounds: two joins and two
+aggregations on edges; min() is aggregated before the shuffle, and the joins are against one row per node, so a node with
+very many neighbours can be split. Rounds are written to shared storage. Their number grows with the logarithm of the
+longest path between what tasks have joined.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.plans.storage import discard, materialize
+from kindred.plans.storage import discard, materialize, prepare
+
+FOREST = 1_000_000
+
+
+def _forest(batches):
+    parent: dict[int, int] = {}
+
+    def find(x):
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[p]
+        return x
+
+    def out():
+        rows = [(x, r) for x in list(parent) if (r := find(x)) != x]
+        parent.clear()
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int64()), pa.array([r for _, r in rows], pa.int64())], ["u", "v"])
+
+    for b in batches:
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            u, v = find(u), find(v)
+            if u != v:
+                parent[max(u, v)] = min(u, v)
+        if len(parent) > FOREST:
+            yield out()
+    if parent:
+        yield out()
+
+
+def _joined(edges: DataFrame) -> DataFrame:
+    """edges (u, v) as (u, v) with v < u, at most one for each node and task."""
+    return materialize(edges.select("u", "v").mapInArrow(_forest, "u long, v long"), "edges")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -21,21 +55,25 @@ def _large_star(edges: DataFrame) -> DataFrame:
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    down = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "down")
     least = materialize(down.groupBy("u").agg(F.min("v").alias("m")), "least")
     side = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return side.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    return side.unionByName(least.select("u", F.col("m").alias("v")))
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node has one edge down, and to a node that has none: then that is the smallest of its component."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    open_ = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 OR (down = 1 AND up = 1)")
+    return open_.limit(1).count() == 0
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for the nodes of edges (u, v: long); root is the smallest node of the component, and has no row."""
-    now = materialize(edges.select("u", "v").where("u <> v").distinct(), "edges")
-    state = None
-    while True:
-        after = materialize(_small_star(_large_star(now)), "edges")
-        n, h = after.agg(F.count("*"), F.coalesce(F.sum((F.xxhash64("u", "v") / (1 << 32)).cast("long")), F.lit(0).cast("long"))).first()
+    prepare(edges.sparkSession)
+    now = _joined(edges.where("u <> v"))
+    while not _settled(now):
+        after = _joined(_small_star(_large_star(now)))
         discard(now)
         now = after
-        if state == (n, h) or n == 0:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        state = (n, h)
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -39,7 +39,9 @@ class Rule:
             raise ValueError(f"{self.kind} compares several columns, but got only {columns!r}")
 
     def __str__(self) -> str:
-        return f"{'~' if self.negated else ''}{self.kind}({', '.join(f'{k}={v!r}' for k, v in self.args.items())})"
+        own = self.args.get("function")
+        name, args = (own.__name__, self.args["settings"]) if own else (self.kind, self.args)
+        return f"{'~' if self.negated else ''}{name}({', '.join(f'{k}={v!r}' for k, v in args.items())})"
 
     __repr__ = __str__
 
