@@ -9,11 +9,13 @@ pair within DISTANCE differs in one component of some chunk at most. For every c
 each choice of the one component that may be wrong (the rest of the chunk), so such a pair shares a key. No bucket is
 capped. Pairs are confirmed on the full shingle sets, and confirmed links are closed to components.
 
-Large groups cost no pairs: equal sets are one class before anything else. Then each bucket compares its members with
+Large groups cost few pairs: equal sets are one class before anything else. Then each bucket compares its members with
 its first member only (a star), and stars that are confirmed merge into components. What a star can't settle are
-members of one bucket in different components; those are compared in blocks of BLOCK x BLOCK signatures inside tasks, and only pairs
-within DISTANCE leave the task, for each member the WAVE nearest ones in another component first. Waves go on, each
-eight times as large, until none is cut short, so no pair between different components is left out.
+members of one bucket in different components; those are compared in blocks of BLOCK x BLOCK inside tasks. A pair leaves
+the task only if it is within DISTANCE and if a sketch of SKETCH bits doesn't refute it: at the threshold the
+number of differing bits is binomial (2048, 0.075), which exceeds FAR with a chance of 0.00001. For each member the WAVE nearest
+in other components come first, which merges most of them; waves go on, each sixteen times as large, until none is
+cut short, so no such pair between different components is left out.
 """
 
 from __future__ import annotations
@@ -31,7 +33,8 @@ from kindred.operators.components import connected_components
 
 WORDS, COMPONENTS, DISTANCE, PERCENT = 5, 64, 19, 85
 CHUNKS = DISTANCE // 2 + 1
-BLOCK, WAVE = 2048, 8
+SKETCH, FAR = 2048, 207
+BLOCK, WAVE = 2048, 16
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _RNG = np.random.default_rng(20240501)
@@ -39,6 +42,8 @@ _A = _RNG.integers(0, 1 << 63, COMPONENTS, dtype=np.uint64) * np.uint64(2) + np.
 _B = _RNG.integers(0, 1 << 63, COMPONENTS, dtype=np.uint64)
 _M = np.uint64(0x9E3779B97F4A7C15)
 _SALT = np.arange(COMPONENTS, dtype=np.uint64) * _M
+_A2 = _RNG.integers(0, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B2 = _RNG.integers(0, 1 << 63, SKETCH, dtype=np.uint64)
 _BOUNDS = np.linspace(0, COMPONENTS, CHUNKS + 1).astype(int)
 
 
@@ -69,6 +74,14 @@ def signature(s: np.ndarray) -> np.ndarray:
     return (_mix(least) & np.uint64(0xFFFF)).astype("<u2")
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """A bit of each of SKETCH min-hashes, packed."""
+    least = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(s), 256):
+        least = np.minimum(least, (s[i : i + 256, None] * _A2 + _B2).min(axis=0))
+    return np.packbits((_mix(least) & np.uint64(1)).astype(bool))
+
+
 def _signed(batches):
     for b in batches:
         for s in slices(b, 2):
@@ -87,8 +100,15 @@ def _sets(batches):
             yield pa.RecordBatch.from_arrays([s.column(0), pa.array([shingles(t or "").tobytes() for t in s.column(1).to_pylist()], pa.binary())], ["node", "shingles"])
 
 
-def _matrix(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, COMPONENTS)
+def _sketched(batches):
+    """(node, both): the signature, then the sketch."""
+    for b in batches:
+        both = [x + sketch(np.frombuffer(y, np.uint64)).tobytes() for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(both, pa.binary())], ["node", "both"])
+
+
+def _matrix(column, width: int = COMPONENTS) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, width)
 
 
 def keys_of(sigs: np.ndarray) -> np.ndarray:
@@ -139,42 +159,54 @@ def _similar(batches):
 
 
 def _cross(wave: int):
-    """For rows (place, side, node, comp, sig) sorted by place: pairs of a place within DISTANCE in different components.
+    """For rows (place, side, node, comp, key, both) sorted by place: pairs of a place in different components that may be alike.
 
-    side 0 is compared with side 1, and with itself where a place has only one side. A pair is given for the `wave`
-    nearest of another component; where more were left out, a row (-1, -1) says so.
+    side 0 is compared with side 1, and with itself where a place has only one side. A pair with several keys in common
+    is given in the bucket of the first of them only, and for each member the `wave` nearest; where more were
+    left out, a row (-1, -1) says so.
     """
 
-    def block(side, node, comp, sig):
+    def block(side, node, comp, key, both):
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        if not len(right):
+        alone = not len(right)
+        if alone:
             right = left
+        sig, bits = np.ascontiguousarray(both[:, :COMPONENTS]), np.ascontiguousarray(both[:, COMPONENTS:]).view(np.uint64)
+        keys, own = keys_of(sig), key[0]
         us, vs, cut = [], [], False
-        for i in range(0, len(left), 64):
-            rows = left[i : i + 64]
+        for i in range(0, len(left), 32):
+            rows = left[i : i + 32]
             apart = (sig[rows][:, None, :] != sig[right][None, :, :]).sum(axis=2)
             a, b = np.nonzero((apart <= DISTANCE) & (comp[rows][:, None] != comp[right][None, :]))
+            far = np.bitwise_count(bits[rows[a]] ^ bits[right[b]]).sum(axis=1, dtype=np.int64)
+            a, b, far = (x[far <= FAR] for x in (a, b, far))
+            mine = keys[rows[a]]
+            shared = mine == keys[right[b]]
+            first = mine[np.arange(len(a)), shared.argmax(axis=1)] == own
+            a, b, far = (x[first] for x in (a, b, far))
             if not len(a):
                 continue
-            order = np.lexsort((node[right[b]], apart[a, b], comp[right[b]], a))
+            order = np.lexsort((node[right[b]], far, a))
             a, b = a[order], b[order]
-            new = np.r_[True, (a[1:] != a[:-1]) | (comp[right[b]][1:] != comp[right[b]][:-1])]
-            start = np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))
+            start = np.maximum.accumulate(np.where(np.r_[True, a[1:] != a[:-1]], np.arange(len(a)), 0))
             keep = np.arange(len(a)) - start < wave
             cut |= not keep.all()
             us.append(node[rows[a[keep]]])
             vs.append(node[right[b[keep]]])
         u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs))
-        return np.minimum(u, v), np.maximum(u, v), cut
+        u, v = np.minimum(u, v), np.maximum(u, v)
+        if alone and len(u):  # both ends may have named the pair
+            u, v = np.unique(np.stack([u, v]), axis=1)
+        return u, v, cut
 
     def run(batches):
         held: list[tuple] = []
 
         def done(parts):
-            side, node, comp, sig = (np.concatenate([p[i] for p in parts]) for i in range(4))
+            side, node, comp, key, both = (np.concatenate([p[i] for p in parts]) for i in range(5))
             if comp.min() == comp.max():
                 return None
-            u, v, cut = block(side, node, comp, sig)
+            u, v, cut = block(side, node, comp, key, both)
             if cut:
                 u, v = np.r_[u, -1], np.r_[v, -1]
             return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"]) if len(u) else None
@@ -184,7 +216,7 @@ def _cross(wave: int):
             if not b.num_rows:
                 continue
             p = b.column(0).to_numpy()
-            columns = [b.column(i).to_numpy() for i in (1, 2, 3)] + [_matrix(b.column(4))]
+            columns = [b.column(i).to_numpy() for i in (1, 2, 3, 4)] + [_matrix(b.column(5), COMPONENTS + SKETCH // 16)]
             edges = [0, *(np.flatnonzero(p[1:] != p[:-1]) + 1).tolist(), len(p)]
             for i, j in zip(edges, edges[1:]):
                 if held and p[i] != place:
@@ -229,32 +261,34 @@ def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     wanted = materialize(buckets.select("node").distinct(), "wanted")
     texts = docs.select(F.col("row").alias("node"), "text").join(wanted, "node", "left_semi")
     sets = materialize(texts.mapInArrow(_sets, "node long, shingles binary"), "sets")
-    tested = _confirm(stars, sigs, sets)
-    refuted = stars  # every star is settled, those beyond the distance too
-    roots, wave = _labelled(tested), WAVE
+    roots, settled = _labelled(_confirm(stars, sigs, sets)), stars  # every star is settled, those beyond the distance too
     several = buckets.where("members > 2").select("key", "node", "members")
+    named = lambda df: df.join(roots, "node", "left").select("key", "node", "members", F.coalesce("root", "node").alias("comp"))
+    unlike = lambda df: df.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+    several = materialize(several.join(materialize(unlike(named(several)), "open"), "key"), "several")
+    nodes = materialize(several.select("node").distinct(), "nodes")
+    both = materialize(nodes.join(sigs, "node").join(sets, "node").select("node", "sig", "shingles").mapInArrow(_sketched, "node long, both binary"), "sketches")
+    wave = WAVE
     while True:
-        named = several.join(roots, "node", "left").select("key", "node", "members", F.coalesce("root", "node").alias("comp"))
-        open_ = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-        members = named.join(materialize(open_, "open"), "key").join(sigs, "node")
+        members = materialize(named(several), "members")
+        members = members.join(materialize(unlike(members), "open"), "key").join(both, "node")
         blocks = F.greatest(F.lit(1), F.ceil(F.col("members") / BLOCK)).cast("int")
         own = F.pmod(F.xxhash64("node"), blocks).cast("int")
         dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         low, high = F.least("own", "other"), F.greatest("own", "other")
         dealt = dealt.select(
-            F.xxhash64("key", low, high).alias("place"), F.when((F.col("own") == high) & (low != high), 1).otherwise(0).alias("side"), "node", "comp", "sig"
+            F.xxhash64("key", low, high).alias("place"), F.when((F.col("own") == high) & (low != high), 1).otherwise(0).alias("side"), "node", "comp", "key", "both"
         )
-        found = dealt.repartition("place").sortWithinPartitions("place").mapInArrow(_cross(wave), "u long, v long").distinct()
-        found = materialize(found.join(refuted, ["u", "v"], "left_anti"), "found")
+        found = materialize(dealt.repartition("place").sortWithinPartitions("place").mapInArrow(_cross(wave), "u long, v long"), "found")
         cut = found.where("u < 0").limit(1).count() > 0
-        new = found.where("u >= 0")
+        new = materialize(found.where("u >= 0").join(settled, ["u", "v"], "left_anti"), "new")
         if new.limit(1).count():
             more = _confirm(new, sigs, sets)
-            tested, refuted = tested.unionByName(more), refuted.unionByName(new.select("u", "v"))
-            roots = _labelled(tested)
+            settled = settled.unionByName(new.select("u", "v"))
+            roots = _labelled(more.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"), F.lit(True).alias("linked"))))
         if not cut:
             break
-        wave *= 8
+        wave *= 16
     return signed.drop("sig"), classes.join(roots, "node", "left").select("whole", F.coalesce("root", "node").alias("root"))
 
 
