@@ -101,6 +101,8 @@ def _counted(batches):
                 if len(sums[lang]) > 16:
                     sums[lang] = [merged(sums[lang])]
     for lang, parts in sums.items():
+        if not parts:  # no text was long enough
+            continue
         keys, n = merged(parts)
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 

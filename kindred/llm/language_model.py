@@ -66,49 +66,68 @@ def suffix_class(word: bytes) -> int:
 
 
 class _Top(dict):
-    """Frequent word -> its rank; any other word -> TABLE + its suffix class."""
+    """Frequent word -> its rank; any other word -> size of the table + its suffix class."""
+
+    def __init__(self, ranks, table: int):
+        super().__init__(ranks)
+        self.table = table
 
     def __missing__(self, word):
-        return TABLE + suffix_class(word)
+        return self.table + suffix_class(word)
+
+    def __reduce__(self):
+        return _Top, (dict(self), self.table)
 
 
 class Vocabulary:
-    """Frequent words with counts, and the totals of the classes that hold several words."""
+    """Frequent words (`table` of them at most) with counts, and the totals of the classes that hold several words.
 
-    def __init__(self, top: list[tuple[bytes, int]], n: int, v: int, suffix_n: np.ndarray, suffix_v: np.ndarray):
-        self.n, self.v = n, v
-        self.ranks = _Top({w: i for i, (w, _) in enumerate(top)})
-        c = np.zeros(TABLE + SUFFIXES)
+    The `classes` most frequent words are classes of their own.
+    """
+
+    def __init__(self, top: list[tuple[bytes, int]], n: int, v: int, suffix_n: np.ndarray, suffix_v: np.ndarray, table: int, classes: int):
+        self.n, self.v, self.table, self.classes = n, v, table, classes
+        self.ranks = _Top({w: i for i, (w, _) in enumerate(top)}, table)
+        c = np.zeros(table + SUFFIXES)
         c[: len(top)] = [x for _, x in top]
         self.known = c > 0
-        self.code = np.zeros(TABLE + SUFFIXES, np.uint16)
-        self.code[TABLE:] = CLASSES + np.arange(SUFFIXES)
+        self.code = np.zeros(table + SUFFIXES, np.uint16)
+        self.code[table:] = classes + np.arange(SUFFIXES)
         for i, (w, _) in enumerate(top):
-            self.code[i] = i if i < CLASSES else CLASSES + suffix_class(w)
+            self.code[i] = i if i < classes else classes + suffix_class(w)
         log_c = np.where(self.known, np.log10(c + ADD), 0.0)  # of rare words it comes from the join
         share = np.log10(suffix_n + ADD * (suffix_v + 1))
         self.base = log_c - np.log10(n + ADD * (v + 1)) if n else log_c
-        own = np.arange(TABLE + SUFFIXES) < min(CLASSES, len(top))
-        self.within = np.where(own, 0.0, log_c - share[np.maximum(self.code.astype(int) - CLASSES, 0)])
-        self.class_counts = np.bincount(self.code, c, minlength=CLASSES + SUFFIXES)
-        self.class_counts[CLASSES:] = suffix_n
+        own = np.arange(table + SUFFIXES) < min(classes, len(top))
+        self.within = np.where(own, 0.0, log_c - share[np.maximum(self.code.astype(int) - classes, 0)])
+        self.class_counts = np.bincount(self.code, c, minlength=classes + SUFFIXES)
+        self.class_counts[classes:] = suffix_n
 
 
-def vocabulary(counts: DataFrame) -> Vocabulary:
+def vocabulary(counts: DataFrame, table: int, classes: int) -> Vocabulary:
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = [(bytes(r["word"]), r["c"]) for r in counts.orderBy(F.desc("c"), "word").limit(TABLE).collect()]
-
-    def classes(batches):
+    # A few thousand steps of frequency; the table ends at a step, so no task sends more than what is in it.
+    step = F.floor(F.log2("c") * 64).cast("int")
+    cut, held = None, 0
+    for r in sorted(counts.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
+        held += r["count"]
+        if held > table:
+            break
+        cut = r["step"]
+    found = [] if cut is None else counts.where(step >= cut).collect()
+    top = sorted(((bytes(r["word"]), r["c"]) for r in found), key=lambda x: (-x[1], x[0]))
+
+    def classed(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([suffix_class(w) for w in b.column(0).to_pylist()], pa.int32()), b.column(1)], ["class", "c"])
 
     total_n, total_v = np.zeros(SUFFIXES), np.zeros(SUFFIXES)
-    for r in counts.mapInArrow(classes, "class int, c long").groupBy("class").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():
+    for r in counts.mapInArrow(classed, "class int, c long").groupBy("class").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():
         total_n[r["class"]], total_v[r["class"]] = r["c"], r["v"]
-    for w, c in top[:CLASSES]:  # these are classes of their own
+    for w, c in top[:classes]:  # these are classes of their own
         total_n[suffix_class(w)] -= c
         total_v[suffix_class(w)] -= 1
-    return Vocabulary(top, n, v, total_n, total_v)
+    return Vocabulary(top, n, v, total_n, total_v, table, classes)
 
 
 class Markov:
@@ -220,7 +239,7 @@ def _encode(shared):
                 for t in s.column(3).cast(pa.large_binary()).to_pylist():
                     words = tokens(t or b"")
                     at = np.fromiter([ranks[w] for w in words], np.int64, len(words))
-                    rare = Counter([words[i] for i in np.flatnonzero(at >= TABLE)])
+                    rare = Counter([words[i] for i in np.flatnonzero(at >= v.table)])
                     for c, x in zip(cols, (len(words), int(known[at].sum()), float(base[at].sum()), float(within[at].sum()), code[at].tobytes(), list(rare.keys()), list(rare.values()))):
                         c.append(x)
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()))
@@ -258,7 +277,7 @@ def baum_welch(codes: DataFrame, model: Markov, prior: np.ndarray) -> Markov:
     return maximise(flat[:k], flat[k : k + k * k].reshape(k, k), flat[k + k * k :].reshape(k, c), prior)
 
 
-def lm_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def lm_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", table: int = TABLE, classes: int = CLASSES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
     Learns from rows whose crc32(id) mod 10 is not 0. Defined cases: a null text is the empty text, which is one end; a
@@ -271,7 +290,7 @@ def lm_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     key = F.col(doc_id).cast("long")
     picked = docs.select(F.monotonically_increasing_id().alias("row"), key.alias("doc_id"), (id_crc(key) % 10 == 0).alias("held_out"), F.col(text).cast("string").alias("text"))
     counts = word_counts(picked.where("NOT held_out"))
-    words = vocabulary(counts)
+    words = vocabulary(counts, table, classes)
     shared = spark.sparkContext.broadcast(words)
     encoded = materialize(
         picked.mapInArrow(_encode(shared), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, within double, codes binary, rare array<binary>, times array<int>"),

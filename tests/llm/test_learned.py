@@ -133,11 +133,9 @@ def base(rows):
 
 @pytest.mark.parametrize("which", ["odd_rows", "small"])
 @pytest.mark.parametrize("table", [language_model.TABLE, 20])
-def test_language_model_base(spark, request, monkeypatch, which, table):
-    monkeypatch.setattr(language_model, "TABLE", table)
-    monkeypatch.setattr(language_model, "CLASSES", min(language_model.CLASSES, table))
+def test_language_model_base(spark, request, which, table):
     rows = request.getfixturevalue(which)
-    out = sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) for r in language_model.lm_score(make_docs(spark, rows)).collect())
+    out = sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) for r in language_model.lm_score(make_docs(spark, rows), table=table, classes=min(table, language_model.CLASSES)).collect())
     for a, b in zip(out, sorted(base(rows)), strict=True):
         assert a[:5] == b[:5] and a[5] == pytest.approx(b[5], rel=1e-9, abs=1e-6)
 
