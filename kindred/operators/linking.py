@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from kindred.functions import minhash
 from kindred.functions.ratios import BOUNDED, similar_pairs
 from kindred.operators.components import connected_components
-from kindred.operators.rules import Rule
+from kindred.operators.rules import WEIGHTING, Rule
 from kindred.plans.storage import materialize
 
 #: Links up to this number are closed on the driver; beyond, by rounds of joins.
@@ -227,8 +227,9 @@ def _lsh(keys, value, threshold, ngram, num_perm):
     return _grouped(rows, values, close(links))
 
 
-def _tfidf(keys, value, threshold, ngram, topn):
-    cleaned = F.regexp_replace(F.lower(value), r"(?U)\s\s+", " ")
+def _tfidf(keys, value, threshold, ngram, topn, **weighting):
+    w = WEIGHTING | weighting
+    cleaned = F.regexp_replace(F.lower(value) if w["lowercase"] else value, r"(?U)\s\s+", " ")
     rows, values = _collapsed(keys, cleaned)
     totals = rows.groupBy("__block").agg(F.count("*").alias("total"))
     sizes = range(ngram[0], ngram[1] + 1)
@@ -240,9 +241,13 @@ def _tfidf(keys, value, threshold, ngram, topn):
     grams = values.select("__block", "node", "n", F.explode(F.concat(*pieces)).alias("gram")).groupBy("__block", "node", "n", "gram").agg(F.count("*").alias("tf"))
     grams = materialize(grams, "grams")
     idf = grams.groupBy("__block", "gram").agg(F.sum("n").alias("df")).alias("i").join(totals.alias("t"), F.col("i.__block").eqNullSafe(F.col("t.__block")))
-    idf = idf.select("i.__block", "i.gram", (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1).alias("idf"))
+    more = 1 if w["smooth_idf"] else 0
+    weight = F.log((more + F.col("total")) / (more + F.col("df"))) + 1 if w["use_idf"] else F.lit(1.0)
+    idf = idf.select("i.__block", "i.gram", weight.alias("idf"))
+    tf = F.lit(1) if w["binary"] else F.col("tf")
+    tf = F.log(tf) + 1 if w["sublinear_tf"] else tf
     g, i = grams.alias("g"), idf.alias("i")
-    weighted = g.join(i, F.col("g.__block").eqNullSafe(F.col("i.__block")) & (F.col("g.gram") == F.col("i.gram"))).select("g.__block", "g.node", "g.gram", (F.col("tf") * F.col("idf")).alias("w"))
+    weighted = g.join(i, F.col("g.__block").eqNullSafe(F.col("i.__block")) & (F.col("g.gram") == F.col("i.gram"))).select("g.__block", "g.node", "g.gram", (tf * F.col("idf")).alias("w"))
     norms = weighted.groupBy("node").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     unit = materialize(weighted.join(norms, "node").select("__block", "node", "gram", (F.col("w") / F.col("norm")).alias("w")), "weights")
     a, b = unit.alias("a"), unit.alias("b")
@@ -307,7 +312,7 @@ def groups(rule: Rule, columns, preprocessors, keys: DataFrame, placeholder: str
     if rule.kind == "fuzzy":
         return _fuzzy(keys, value, a["threshold"], a["scorer"])
     if rule.kind == "tfidf":
-        return _tfidf(keys, value, a["threshold"], a["ngram"], a["topn"])
+        return _tfidf(keys, value, **a)
     if rule.kind == "lsh":
         return _lsh(keys, value, a["threshold"], a["ngram"], a["num_perm"])
     if rule.kind == "jaccard":

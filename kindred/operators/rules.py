@@ -62,12 +62,22 @@ def fuzzy(threshold: float = 0.95, scorer: str = "simple_ratio") -> Rule:
     return Rule("fuzzy", {"threshold": _threshold(threshold), "scorer": scorer if scorer in SCORERS else "simple_ratio"})
 
 
-def tfidf(threshold: float = 0.95, ngram: int | tuple[int, int] = 3, topn: int = 2) -> Rule:
-    """Cosine of character n-gram TF-IDF vectors above the threshold, among each row's topn best (itself included)."""
+#: Settings of the TF-IDF weights and what they are unless given.
+WEIGHTING = {"lowercase": True, "binary": False, "sublinear_tf": False, "use_idf": True, "smooth_idf": True}
+
+
+def tfidf(threshold: float = 0.95, ngram: int | tuple[int, int] = 3, topn: int = 2, **weighting) -> Rule:
+    """Cosine of character n-gram TF-IDF vectors above the threshold, among each row's topn best (itself included).
+
+    weighting: lowercase the text; binary counts; 1 + ln(count) instead of the count (sublinear_tf); use_idf, and
+    whether it counts as if one more row held every n-gram (smooth_idf).
+    """
     low, high = (ngram, ngram) if isinstance(ngram, int) else ngram
     if not 1 <= low <= high or topn < 1:
         raise ValueError("ngram needs 1 <= low <= high, and topn at least 1")
-    return Rule("tfidf", {"threshold": _threshold(threshold), "ngram": (low, high), "topn": topn})
+    if unknown := set(weighting) - set(WEIGHTING):
+        raise TypeError(f"tfidf has no setting {sorted(unknown)}; it has {', '.join(WEIGHTING)}")
+    return Rule("tfidf", {"threshold": _threshold(threshold), "ngram": (low, high), "topn": topn} | {k: bool(v) for k, v in weighting.items()})
 
 
 def lsh(threshold: float = 0.95, ngram: int = 3, num_perm: int = 128) -> Rule:

@@ -81,7 +81,11 @@ def _cascade(units: list[Unit], state: DataFrame, placeholder: str) -> DataFrame
 
 
 def moved(found: DataFrame, keep: str) -> DataFrame:
-    """(rid, rep, new): rows of groups of two or more, their representative, and its canonical id."""
+    """(rid, rep, new): rows of groups of two or more, their representative, and its canonical id.
+
+    The groups, a few numbers and a digest a row, are written once, so that long texts are read and joined only once.
+    """
+    found = materialize(found, "groups")
     best = (F.min("rid"), F.min_by("cid", "rid")) if keep == "first" else (F.max("rid"), F.max_by("cid", "rid"))
     reps = found.groupBy("__block", "g").agg(best[0].alias("rep"), best[1].alias("new"), F.count("*").alias("n")).where("n > 1").drop("n")
     a, b = found.alias("a"), reps.alias("b")

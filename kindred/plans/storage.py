@@ -44,9 +44,15 @@ def discard(df: DataFrame) -> None:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package (a cluster installs it or gets --py-files)."""
+    """Let Python workers import this package (a cluster installs it or gets --py-files), and keep their batches small.
+
+    Batches of long texts are held several times over, in the JVM and in Python; a setting of the user's own stays.
+    """
     here = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     known = env.get("PYTHONPATH", "")
     if here not in known.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (here, known) if x)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, "2000")

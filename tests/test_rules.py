@@ -261,6 +261,46 @@ def test_connected_components(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long")).collect() == []
 
 
+@pytest.mark.parametrize("weighting", [{}, {"lowercase": False}, {"binary": True}, {"sublinear_tf": True}, {"use_idf": False}, {"smooth_idf": False}])
+def test_tfidf_weighting(spark, weighting):
+    import math
+    import random
+    import re
+    from collections import Counter
+
+    rng = random.Random(8)
+    names = ["".join(rng.choice("abAB ") for _ in range(rng.randrange(2, 9))) for _ in range(40)]
+    w = kd.custom.WEIGHTING | weighting
+    texts = [re.sub(r"\s\s+", " ", x.lower() if w["lowercase"] else x) for x in names]
+    grams = [Counter(t[i : i + 2] for i in range(len(t) - 1)) for t in texts]
+    df = Counter(g for c in grams for g in c)
+    more, n = int(w["smooth_idf"]), len(names)
+    vectors = []
+    for c in grams:
+        v = {g: (math.log(1 if w["binary"] else k) + 1 if w["sublinear_tf"] else 1 if w["binary"] else k) * (math.log((more + n) / (more + df[g])) + 1 if w["use_idf"] else 1) for g, k in c.items()}
+        norm = math.sqrt(sum(x * x for x in v.values())) or 1
+        vectors.append({g: x / norm for g, x in v.items()})
+    parent = list(range(n))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(n):
+        scores = sorted(((-round(sum(x * vectors[j].get(g, 0) for g, x in vectors[i].items()), 9), j) for j in range(n)))
+        for s, j in [(s, j) for s, j in scores if -s > 0.55][:3]:
+            a, b = find(i), find(j)
+            parent[max(a, b)] = min(a, b)
+    out = canonical(spark.createDataFrame(list(enumerate(names)), "id long, name string"), kd.tfidf(0.55, ngram=2, topn=3, **weighting), "name", row_id="id")
+    assert out == [find(i) for i in range(n)]
+
+
+def test_tfidf_rejects_other_settings():
+    with pytest.raises(TypeError):
+        kd.tfidf(analyzer="word")
+
+
 def test_registry_names():
     assert {"exact", "fuzzy", "tfidf", "lsh", "jaccard", "cosine", "isna", "isin", "str_startswith", "str_endswith", "str_contains", "str_len"} <= set(REGISTRY)
 

@@ -235,3 +235,13 @@ def test_entry_without_the_corpus_operators():
 
     assert e._optional("kindred.nothing_here") is None
     assert "q01_exact_drop_first" in e.queries() and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_id_column_from_the_environment():
+    import os
+    import subprocess
+    import sys
+
+    env = os.environ | {"CANONICAL_ID": "entity", "PYTHONPATH": os.getcwd()}
+    said = subprocess.run([sys.executable, "-c", "import kindred; print(kindred.CANONICAL_ID)"], env=env, capture_output=True, text=True)
+    assert said.stdout.strip().endswith("entity")
