@@ -3,11 +3,11 @@
 A merge can only ever join two neighbouring bytes if some vocabulary token holds that byte pair. Pairs that
 no token holds are certain cuts: each word is split there, the fragments are merged independently, and their
 ids are concatenated. The result is exactly that of merging the whole word. White space and the
-boundaries of the pre-tokenizer are certain cuts too, so a text becomes a sequence of short
-fragments that repeat all the time and are looked up in a bounded cache.
+boundaries of the pre-tokenizer are certain cuts too, so a text becomes a sequence of short fragments.
 
 Scale: one narrow pass over the text, nothing is shuffled. The vocabulary (about 2 MB) is read once per Python
-worker from a path that is a parameter; the caches hold at most CACHE entries in two generations.
+worker from a path that is a parameter. Words that came before are looked up in a table of about CACHE words, all words of a batch at
+once; when it is full, the less frequent half goes.
 """
 
 from __future__ import annotations
@@ -15,25 +15,25 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import struct
-import sys
-from array import array
 from operator import add
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer, models
+from tokenizers import Tokenizer, models, pre_tokenizers
 
-from kindred.llm.common import documents, prepare
+from kindred.llm.common import documents, prepare, slices
 
-CACHE = 250_000
-_LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
+#: Words whose ids are kept.
+CACHE = 120_000
 END = "</w>"
 
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}]+")
-_ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: What is a word of its own between letters and white space, as the pattern above has it.
+_BETWEEN = r"'(?:s|t|re|ve|m|ll|d)|\p{N}|[^\p{L}\p{N}\s]+"
 #: Texts without other characters need no Unicode normalisation beyond str.lower().
 _SPECIAL = re.compile("[^\t-\r -~¡-įı-˿]")
 
@@ -45,22 +45,18 @@ def vocabulary_path() -> str:
 
 
 class _Cache(dict):
-    """Values of make(key); the older half of what is in use goes when two generations are full."""
+    """Values of make(key); all go when there are `limit`."""
 
     def __init__(self, make, limit: int = CACHE):
         super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
+        self.make, self.limit = make, limit
 
     def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-            if len(key) > 100:
-                return value
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
+        value = self.make(key)
+        if len(key) <= 400:
+            if len(self) >= self.limit:
+                self.clear()
+            self[key] = value
         return value
 
 
@@ -83,17 +79,26 @@ class Encoder:
         self.normalize = Tokenizer.from_file(path).normalizer.normalize_str
         # Merging a fragment is the public library's model: one for fragments that end a word, one for the others.
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        inner, self._end = models.BPE(self.vocab, merges), models.BPE(self.vocab, merges, end_of_word_suffix=END)
-        self.at_end = self._end.tokenize
-        self.inner = _Cache(lambda p: [x.id for x in inner.tokenize(p)])
+        inner, end = models.BPE(self.vocab, merges), models.BPE(self.vocab, merges, end_of_word_suffix=END)
+        self.inner, self.heads = inner.tokenize, _Cache(self._head)
+        self.many = Tokenizer(end)
+        self.many.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.letters = _byte_letters()
         inside = [t.removesuffix(END) for t in self.vocab]
         #: Byte pairs that some token holds; all others are forced boundaries.
         self.joined = {t[i : i + 2] for t in inside for i in range(len(t) - 1)}
+        byte = {c: b for b, c in self.letters.items()}
+        self.cut = np.ones((256, 256), bool)
+        for a, b in self.joined:
+            self.cut[byte[a], byte[b]] = False
+        self.cut[32, :] = self.cut[:, 32] = False
+        self.codes = np.array([32 if b == 32 else ord(self.letters[b]) for b in range(256)], "<u2")
         self.between = re.compile("|".join(map(re.escape, self.special)))
-        self.words = _Cache(self._word)
-        self.chunks = _Cache(self._chunk)
-        self.decoded = _Cache(lambda ids: self.decode(struct.unpack(f"<{len(ids) // 4}I", ids)))
+        self.names = pa.array([self.tokens.get(i) for i in range(max(self.tokens) + 1)], pa.large_string())
+        # The table: words, where their ids begin in `flat` and how many there are, and how often they came.
+        self.known = pa.array([], pa.large_string())
+        self.flat = np.zeros(0, np.uint32)
+        self.start = self.length = self.hits = np.zeros(0, np.int64)
 
     def fragments(self, letters: str) -> list[str]:
         """The word's byte letters, cut at its forced boundaries."""
@@ -107,48 +112,120 @@ class Encoder:
         out.append(letters[start:])
         return out
 
-    def _word(self, word: str) -> list[int]:
-        letters = word if word.isascii() and word.isalnum() else "".join([self.letters[b] for b in word.encode("utf-8")])
-        pieces = self.fragments(letters)
-        ends = [x.id for x in self.at_end(pieces[-1])]
-        if len(pieces) == 1:
-            return ends
-        return [i for p in pieces[:-1] for i in self.inner[p]] + ends
-
-    def _chunk(self, chunk: str) -> bytes:
-        if chunk.isalpha() and not _SPECIAL.search(chunk):
-            ids = self._word(chunk)
-        else:
-            words = _ASCII_WORDS if chunk.isascii() else _WORDS
-            ids = [i for w in words.findall(chunk) for i in self.words[w]]
-        return array("I", ids).tobytes() if _LITTLE else struct.pack(f"<{len(ids)}I", *ids)
+    def _head(self, head: bytes) -> list[int]:
+        """The ids of the fragments before a word's last forced boundary."""
+        return [x.id for f in self.fragments("".join([self.letters[b] for b in head])) for x in self.inner(f)]
+
+    def _add(self, words: pa.Array) -> None:
+        """Put the ids of new words into the table: of the fragments before a word's last forced boundary, then of the last fragment.
+
+        Last fragments, most of which are whole words, are merged together in one call.
+        """
+        text = pc.binary_join(pa.LargeListArray.from_arrays(pa.array([0, len(words)], pa.int64()), words), pa.scalar(" ", pa.large_string()))[0].as_py().encode("utf-8")
+        raw, heads = np.frombuffer(text, np.uint8), {}
+        cuts = np.flatnonzero(self.cut[raw[:-1], raw[1:]])
+        if len(cuts):
+            spaces = np.flatnonzero(raw == 32)
+            owner = np.searchsorted(spaces, cuts)
+            last = np.diff(owner, append=-1) != 0
+            owner, ends = owner[last], cuts[last] + 1
+            keep = np.ones(len(raw), bool)
+            for o, a, b in zip(owner.tolist(), np.r_[0, spaces + 1][owner].tolist(), ends.tolist()):
+                heads[o] = self.heads[text[a:b]]
+                keep[a:b] = False
+            raw = raw[keep]
+        made = self.many.encode(self.codes[raw].tobytes().decode("utf-16-le"), add_special_tokens=False)
+        owner, ids = np.array(made.word_ids, np.int64), np.array(made.ids, np.uint32)
+        length = np.bincount(owner, minlength=len(words))
+        if len(length) != len(words) or not length.all():
+            raise ValueError("a word has no token")
+        if heads:
+            before = np.zeros(len(words), np.int64)
+            before[list(heads)] = [len(h) for h in heads.values()]
+            length = length + before
+            start = np.cumsum(length) - length
+            rank = np.arange(len(ids)) - np.searchsorted(owner, owner)  # place of a token in its last fragment
+            all_ids = np.empty(length.sum(), np.uint32)
+            all_ids[(start + before)[owner] + rank] = ids
+            for o, h in heads.items():
+                all_ids[start[o] : start[o] + len(h)] = h
+            ids = all_ids
+        self.start = np.r_[self.start, np.cumsum(length) - length + len(self.flat)]
+        self.length, self.hits = np.r_[self.length, length], np.r_[self.hits, np.zeros(len(words), np.int64)]
+        self.flat, self.known = np.r_[self.flat, ids], pa.concat_arrays([self.known, words])
+
+    def _forget(self) -> None:
+        """Keep the half of the table that came most often."""
+        stay = np.sort(np.argsort(-self.hits, kind="stable")[: CACHE // 2])
+        self.known, self.hits = self.known.take(pa.array(stay)), self.hits[stay] // 2
+        start, length = self.start[stay], self.length[stay]
+        ends = np.cumsum(length)
+        self.flat = self.flat[np.arange(length.sum()) + np.repeat(start - (ends - length), length)]
+        self.start, self.length = ends - length, length
+
+    def _ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in a row, and where each word's end."""
+        if len(self.known) > CACHE:
+            self._forget()
+        at = pc.index_in(words, value_set=self.known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        gaps = np.flatnonzero(at < 0)
+        if len(gaps):
+            new = words.take(pa.array(gaps)).dictionary_encode()
+            at[gaps] = new.indices.to_numpy() + len(self.known)
+            self._add(new.dictionary)
+        self.hits = self.hits + np.bincount(at, minlength=len(self.hits))
+        length = self.length[at]
+        ends = np.cumsum(length)
+        return self.flat[np.arange(length.sum()) + np.repeat(self.start[at] - (ends - length), length)], ends
 
     def decode(self, ids) -> str:
         """The tokens of ids, special ones too, with blanks between."""
         tokens = self.tokens
         return " ".join([tokens[i] for i in ids if i in tokens])
 
-    def parts(self, text: str):
-        """Ids, as bytes, of each run of non-space characters and each special token."""
-        found = self.between.findall(text) if "<|" in text else []
-        if not found:
-            return self._plain(text)
-        out = []
+    def _odd(self, text: str) -> np.ndarray:
+        """The ids of a text with special tokens, or with characters that have to be normalised."""
+        words, places, at = [], [], 0
         for i, segment in enumerate(self.between.split(text)):
             if i:
-                out.append(struct.pack("<I", self.special[found[i - 1]]))
-            out += self._plain(segment)
+                places.append((len(words), self.special[(found := self.between.match(text, at)).group()]))
+                at = found.end()
+            words += [w for c in self.normalize(segment).split(" ") if c for w in _WORDS.findall(c)]
+            at += len(segment)
+        ids, ends = self._ids(pa.array(words, pa.large_string()))
+        if not places:
+            return ids
+        return np.insert(ids, np.r_[0, ends][[p for p, _ in places]], [x for _, x in places])
+
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text. All the work on words is done on arrays of a batch."""
+        out: list = [None] * len(texts)
+        plain = []
+        for i, t in enumerate(texts):
+            if "<|" in t or _SPECIAL.search(t):
+                out[i] = self._odd(t)
+            else:
+                plain.append(i)
+        apart = pc.replace_substring_regex(pa.array([texts[i].lower() for i in plain], pa.large_string()), _BETWEEN, r" \0 ")
+        split = pc.ascii_split_whitespace(apart)
+        words = split.flatten()
+        real = pc.not_equal(words, "")
+        count = np.r_[0, np.cumsum(real.to_numpy(zero_copy_only=False))]
+        ids, ends = self._ids(words.filter(real))
+        edges = np.r_[0, ends][count[split.offsets.to_numpy() - split.offsets[0].as_py()]].tolist() if plain else []
+        for i, a, b in zip(plain, edges, edges[1:]):
+            out[i] = ids[a:b]
         return out
 
-    def _plain(self, text: str):
-        chunks = self.chunks
-        if _SPECIAL.search(text):
-            return [chunks[c] for c in self.normalize(text).split(" ") if c]
-        return [chunks[c] for c in text.lower().split()]
+    def decode_batch(self, ids: list[np.ndarray]) -> list[str]:
+        """The tokens of each array of ids, special ones too, with blanks between."""
+        tokens = self.names.take(pa.array(np.concatenate([np.zeros(0, np.uint32), *ids])))
+        edges = np.cumsum([0, *map(len, ids)])
+        return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(edges, pa.int64()), tokens), pa.scalar(" ", pa.large_string())).to_pylist()
 
     def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        return b"".join(self.parts(text))
+        """The ids of one text as little-endian unsigned 32-bit integers."""
+        return self.encode_batch([text])[0].astype("<u4").tobytes()
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -161,25 +238,16 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def _rows(b: pa.RecordBatch, step: int = 256):
-    """Slices of (ids, texts), so that few texts are Python objects at a time."""
-    for i in range(0, b.num_rows, step):
-        s = b.slice(i, step)
-        yield s.column(0), s.column(1).to_pylist()
-
-
 def bpe_encode(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ids array<int>) of every row; a null or empty text has no ids, repeated rows repeat."""
     path = path or vocabulary_path()
 
     def run(batches):
-        import numpy as np
-
         e = encoder(path)
         for b in batches:
-            for ids, texts in _rows(b):
-                values = [np.frombuffer(e.encode(t or ""), "<u4").astype("int32") for t in texts]
-                yield pa.RecordBatch.from_arrays([ids, pa.array([v.tolist() for v in values], pa.list_(pa.int32()))], ["doc_id", "ids"])
+            for s in slices(b, 1, 1 << 21):
+                values = [x.tolist() for x in e.encode_batch([t or "" for t in s.column(1).to_pylist()])]
+                yield pa.RecordBatch.from_arrays([s.column(0), pa.array(values, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     prepare(docs.sparkSession)
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
@@ -192,8 +260,8 @@ def bpe_decode(encoded: DataFrame, path: str | None = None, doc_id: str = "doc_i
     def run(batches):
         e = encoder(path)
         for b in batches:
-            for keys, rows in _rows(b):
-                yield pa.RecordBatch.from_arrays([keys, pa.array([e.decode(r or []) for r in rows], pa.string())], ["doc_id", "text"])
+            for s in slices(b, 1, 1 << 21):
+                yield pa.RecordBatch.from_arrays([s.column(0), pa.array([e.decode(r or []) for r in s.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
     prepare(encoded.sparkSession)
     return encoded.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(ids).cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text string")
@@ -209,17 +277,16 @@ def bpe_digests(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id"
 
     def run(batches):
         e = encoder(path)
-        sha, decoded = lambda x: hashlib.sha256(x).hexdigest(), e.decoded
+        sha = lambda x: hashlib.sha256(x).hexdigest()
         for b in batches:
-            for keys, texts in _rows(b):
+            for s in slices(b, 1, 1 << 21):
                 n, a, d = [], [], []
-                for t in texts:
-                    parts = e.parts(t or "")
-                    ids = b"".join(parts)
-                    n.append(len(ids) // 4)
-                    a.append(sha(ids))
-                    d.append(sha(" ".join([decoded[p] for p in parts]).encode("utf-8")))
-                yield pa.RecordBatch.from_arrays([keys, pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                coded = e.encode_batch([t or "" for t in s.column(1).to_pylist()])
+                for ids, text in zip(coded, e.decode_batch(coded)):
+                    n.append(len(ids))
+                    a.append(sha(ids.astype("<u4").tobytes()))
+                    d.append(sha(text.encode("utf-8")))
+                yield pa.RecordBatch.from_arrays([s.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     prepare(docs.sparkSession)
     picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))

@@ -2,24 +2,14 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.plans.storage import discard, materialize, shared_root  # noqa: F401
+from kindred.plans.storage import discard, materialize, prepare, shared_root  # noqa: F401
 
 #: Words everywhere in this subpackage: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package (a cluster installs it or gets --py-files)."""
-    here = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    known = env.get("PYTHONPATH", "")
-    if here not in known.split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (here, known) if x)
-
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

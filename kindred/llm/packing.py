@@ -23,8 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kindred.llm.bpe import _rows, encoder, vocabulary_path
-from kindred.llm.common import documents, materialize, prepare
+from kindred.llm.bpe import encoder, vocabulary_path
+from kindred.llm.common import documents, materialize, prepare, slices
 
 SIZE = 2048
 _RANK_BITS = 48
@@ -184,10 +184,10 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, doc_id: str = "doc_id",
         e, seen, task = encoder(path), np.zeros(size + 1, np.int64), TaskContext.get().partitionId()
         width = 4 * size
         for b in batches:
-            for keys, texts in _rows(b):
+            for s in slices(b, 1, 1 << 21):
                 rows = []
-                for key, t in zip(keys.to_pylist(), texts):
-                    ids = e.encode(t or "") + b"\0\0\0\0"
+                for key, coded in zip(s.column(0).to_pylist(), e.encode_batch([t or "" for t in s.column(1).to_pylist()])):
+                    ids = coded.astype("<u4").tobytes() + b"\0\0\0\0"
                     for i in range(0, len(ids), width):
                         part = ids[i : i + width]
                         n = len(part) // 4
