@@ -1,24 +1,38 @@
 import pytest
 
 import corpus_pipeline
-from kindred.llm import exact_dedup, near_dedup
+from kindred.llm import exact_dedup, language_id, near_dedup, toxicity
 from tests.llm.conftest import make_docs
+from tests.llm.test_exact_dedup import brute as brute_exact
+from tests.llm.test_near_dedup import brute as brute_near
+from tests.llm.test_packing import check
 
 
 def test_stages_in_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "language_id", "exact_dedup", "near_dedup", "packing"]
 
 
-def test_run(spark, sf_dir):
+def test_every_stage_against_brute_force(spark, sf_dir):
+    """Each stage on what the one before kept: the toxicity operator's verdict, letters, and brute force for the rest."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        before = docs
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         assert docs.columns == before.columns, name
-        ids = {r[0] for r in docs.select("doc_id").collect()}
-        assert ids and ids <= {r[0] for r in before.select("doc_id").collect()}
-    packed = corpus_pipeline.run(spark, sf_dir).collect()
-    assert {r["doc_id"] for r in packed} == ids
+        rows = [(r["doc_id"], r["text"]) for r in before.select("doc_id", "text").collect()]
+        got = {r["doc_id"] for r in docs.select("doc_id").collect()}
+        if name == "toxicity":
+            want = {r["doc_id"] for r in toxicity.toxicity(before, labels).collect() if not r["predicted"]}
+        elif name == "language_id":
+            want = {r["doc_id"] for r in language_id.language_id(before).collect() if r["coverage"] >= language_id.COVERAGE}
+        elif name == "exact_dedup":
+            best = brute_exact(rows)[0]
+            want = set(best.values())
+        else:
+            want = {d for (d, _), (_, _, c) in zip(rows, brute_near(rows)) if str(d) == c}
+        assert got == want and got, name
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    check(rows, corpus_pipeline.run(spark, sf_dir).collect())
 
 
 def test_exact_then_near(spark, sf_dir, small):
