@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kindred.dsl import Col, Pipeline
 from kindred.operators.rules import REGISTRY, InvalidRuleError, Rule, exact
-from kindred.operators.steps import Unit, columns_of, run_steps
+from kindred.operators.steps import Unit, changes, columns_of, run_steps
 from kindred.plans.rowid import dense, numbered
 
 #: Name of the column of canonical ids.
@@ -144,6 +144,13 @@ class Dedupe:
         _checked(keep)
         steps = self._steps(columns)
         table, state, unique = self._start(steps, id)
+        if len(steps) == 1 and not drop_duplicates:  # the table meets only the rows that change
+            new = changes(steps[0], state, keep, self._placeholder, self._cascade).select(F.col("rid").alias(_RID), F.struct("new").alias("__change"))
+            own = F.col(f"`{self._cid}`")
+            met = table.join(new, _RID, "left").withColumn("__new", F.when(F.col("__change").isNotNull(), F.col("__change.new")).otherwise(own))
+            self._linked = met.select(*[F.col("__new").alias(c) if c == self._cid else F.col(f"`{c}`") for c in table.columns])
+            self._reset()
+            return self
         left, lost = run_steps(steps, state, keep, drop_duplicates, unique, self._placeholder, self._cascade)
         if lost is not None:
             self._linked = table.join(lost.select(F.col("rid").alias(_RID)), _RID, "left_anti")

@@ -64,6 +64,7 @@ def ascii_fold() -> Preprocessor:
     return Preprocessor("ascii_fold()", lambda c: F.regexp_replace(_pandas(lambda t: unicodedata.normalize("NFKD", t))(c), "[\\u0300-\\u036F]", ""))
 
 
+# Common English function words.
 ENGLISH = (
     "a about above after again against all am an and any are as at be because been before being below between both but by can did do does doing don "
     "down during each few for from further had has have having he her here hers herself him himself his how i if in into is it its itself just me more "

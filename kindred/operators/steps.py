@@ -93,6 +93,11 @@ def moved(found: DataFrame, keep: str) -> DataFrame:
     return met.select("a.rid", "b.rep", "b.new")
 
 
+def changes(units: list[Unit], state: DataFrame, keep: str, placeholder: str, cascade: bool) -> DataFrame:
+    """(rid, new) of the rows that a single step gives another canonical id than their own row's."""
+    return moved((_cascade if cascade else _strict)(units, state, placeholder), keep).where("rid <> rep").select("rid", "new")
+
+
 def run_steps(steps: list[list[Unit]], state: DataFrame, keep: str, drop: bool, unique: bool, placeholder: str, cascade: bool) -> tuple[DataFrame, DataFrame | None]:
     """The final state (rid, cid) of the rows that are left; or, where ids are unique and rows are dropped, the lost rids too.
 
