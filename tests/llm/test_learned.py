@@ -64,13 +64,16 @@ def test_language_stage_keeps_clean(tables):
     assert all(sum(c.isalpha() for c in r["text"]) < 0.8 * len(r["text"]) or len(r["text"].split()) < 20 for r in lost)
 
 
-def test_toxicity(tables):
-    docs, labels = tables
+def test_toxicity(spark):
+    # 3,980 labels; the 399 of the next smaller tables hold out 17 toxic texts only.
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
     truth = {r["doc_id"]: r["toxic"] for r in labels.collect()}
     out = toxicity.toxicity(docs, labels).collect()
     assert all(r["held_out"] == (crc(r["doc_id"]) % 3 == 1) and r["predicted"] == (r["score"] >= 0.7) and 0 <= r["score"] <= 1 for r in out)
     held = [r for r in out if r["held_out"] and r["doc_id"] in truth]
-    assert auc([r["score"] for r in held], [truth[r["doc_id"]] for r in held]) > 0.9
+    assert auc([r["score"] for r in held], [truth[r["doc_id"]] for r in held]) > 0.95
+    assert np.mean([truth[r["doc_id"]] for r in held if r["predicted"]]) > 0.95
 
 
 def test_toxicity_odd_rows(odd, odd_rows, empty, no_labels):
