@@ -33,8 +33,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with the smallest id."""
-    return keep_one_per_group(docs)
+    """Of each component of near copies (a similarity of 0.8 or more) the document with the smallest id."""
+    return keep_one_per_group(docs, percent=80)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,19 +1,20 @@
 """MinHash near-dedup by a multi-index Hamming join.
 
 A document is its set of distinct five-word shingles, and its signature has COMPONENTS min-hashes of 16 bits. Two
-signatures are candidates if they differ in DISTANCE components at most; for a pair at the similarity threshold
-of 0.85 the number of differing components is binomial (64, 0.15), which exceeds 19 with a chance of 0.0003.
+signatures are candidates if they differ in a distance of components at most, which BOUNDS has for each threshold: for a pair
+at a similarity of 0.85 (op5) the number of differing components is binomial (64, 0.15), which exceeds 19 with a chance of
+0.0008; at 0.8 (the stage of the pipeline) it is binomial (64, 0.2), which exceeds 25 with a chance of 0.00013.
 
-The join is exact for signatures: they are cut into CHUNKS = DISTANCE // 2 + 1 chunks, so by the pigeonhole principle a
-pair within DISTANCE differs in one component of some chunk at most. For every chunk, the index holds a key for
+The join is exact for signatures: they are cut into distance // 2 + 1 chunks, so by the pigeonhole principle a
+pair within the distance differs in one component of some chunk at most. For every chunk, the index holds a key for
 each choice of the one component that may be wrong (the rest of the chunk), so such a pair shares a key. No bucket is
 capped. Pairs are confirmed on the full shingle sets, and confirmed links are closed to components.
 
 Large groups cost few pairs: equal sets are one class before anything else. Then each bucket compares its members with
 its first member only (a star), and stars that are confirmed merge into components. What a star can't settle are
 members of one bucket in different components; those are compared in blocks of BLOCK x BLOCK inside tasks. A pair leaves
-the task only if it is within DISTANCE and if a sketch of SKETCH bits doesn't refute it: at the threshold the
-number of differing bits is binomial (2048, 0.075), which exceeds FAR with a chance of 0.00001. For each member the WAVE nearest
+the task only if it is within the distance and if a sketch of SKETCH bits doesn't refute it: at the threshold the
+number of differing bits is binomial (2048, 0.075 or 0.1), which exceeds 207 or 265 with a chance of 0.00001. For each member the WAVE nearest
 in other components come first, which merges most of them; waves go on, each sixteen times as large, until none is
 cut short, so no such pair between different components is left out.
 """
@@ -32,8 +33,9 @@ from kindred.llm.common import documents, materialize, prepare, slices
 from kindred.operators.components import connected_components
 
 WORDS, COMPONENTS, DISTANCE, PERCENT = 5, 64, 19, 85
-CHUNKS = DISTANCE // 2 + 1
 SKETCH, FAR = 2048, 207
+#: Threshold in percent -> components and sketch bits in which a pair may differ.
+BOUNDS = {PERCENT: (DISTANCE, FAR), 80: (25, 265)}
 BLOCK, WAVE = 2048, 16
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -44,7 +46,6 @@ _M = np.uint64(0x9E3779B97F4A7C15)
 _SALT = np.arange(COMPONENTS, dtype=np.uint64) * _M
 _A2 = _RNG.integers(0, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B2 = _RNG.integers(0, 1 << 63, SKETCH, dtype=np.uint64)
-_BOUNDS = np.linspace(0, COMPONENTS, CHUNKS + 1).astype(int)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -111,54 +112,66 @@ def _matrix(column, width: int = COMPONENTS) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, width)
 
 
-def keys_of(sigs: np.ndarray) -> np.ndarray:
+def keys_of(sigs: np.ndarray, distance: int = DISTANCE) -> np.ndarray:
     """A key per signature and component: its chunk without that component."""
+    chunks = distance // 2 + 1
+    bounds = np.linspace(0, COMPONENTS, chunks + 1).astype(int)
     x = _mix(sigs.astype(np.uint64) + (np.arange(COMPONENTS, dtype=np.uint64) << np.uint64(20)))
     out = np.empty((len(sigs), COMPONENTS), np.uint64)
-    for c in range(CHUNKS):
-        a, b = _BOUNDS[c], _BOUNDS[c + 1]
+    for a, b in zip(bounds, bounds[1:]):
         total = x[:, a:b].sum(axis=1)
         for i in range(a, b):
             out[:, i] = _mix(total - x[:, i] + _SALT[i])
     return out.view(np.int64)
 
 
-def _keyed(batches):
-    for b in batches:
-        for i in range(0, b.num_rows, 2048):
-            s = b.slice(i, 2048)
-            keys = keys_of(_matrix(s.column(1)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(s.column(0).to_numpy(), COMPONENTS))], ["key", "node"])
+def _keyed(distance: int):
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 2048):
+                s = b.slice(i, 2048)
+                keys = keys_of(_matrix(s.column(1)), distance)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(s.column(0).to_numpy(), COMPONENTS))], ["key", "node"])
 
+    return run
 
-def _near(batches):
-    """Pairs (u, v, sig_u, sig_v) within DISTANCE."""
-    for b in batches:
-        if b.num_rows:
-            apart = (_matrix(b.column(2)) != _matrix(b.column(3))).sum(axis=1)
-            s = b.filter(pa.array(apart <= DISTANCE))
-            yield pa.RecordBatch.from_arrays([s.column(0), s.column(1)], ["u", "v"])
 
+def _near(distance: int):
+    """Pairs (u, v, sig_u, sig_v) within the distance."""
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                apart = (_matrix(b.column(2)) != _matrix(b.column(3))).sum(axis=1)
+                s = b.filter(pa.array(apart <= distance))
+                yield pa.RecordBatch.from_arrays([s.column(0), s.column(1)], ["u", "v"])
+
+    return run
 
-def _similar(batches):
+
+def _similar(percent: int):
     """(u, v, linked) of pairs with both sets."""
-    for b in batches:
-        for i in range(0, b.num_rows, 256):
-            s = b.slice(i, 256)
-            linked = []
-            for x, y in zip(s.column(2).to_pylist(), s.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if 100 * min(len(x), len(y)) < PERCENT * max(len(x), len(y)):
-                    linked.append(False)
-                    continue
-                z = np.concatenate([x, y])
-                z.sort()
-                both = int((z[1:] == z[:-1]).sum())
-                linked.append(100 * both >= PERCENT * (len(z) - both))
-            yield pa.RecordBatch.from_arrays([s.column(0), s.column(1), pa.array(linked, pa.bool_())], ["u", "v", "linked"])
-
-
-def _cross(wave: int):
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                s = b.slice(i, 256)
+                linked = []
+                for x, y in zip(s.column(2).to_pylist(), s.column(3).to_pylist()):
+                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+                        linked.append(False)
+                        continue
+                    z = np.concatenate([x, y])
+                    z.sort()
+                    both = int((z[1:] == z[:-1]).sum())
+                    linked.append(100 * both >= percent * (len(z) - both))
+                yield pa.RecordBatch.from_arrays([s.column(0), s.column(1), pa.array(linked, pa.bool_())], ["u", "v", "linked"])
+
+    return run
+
+
+def _cross(wave: int, distance: int, far_bits: int):
     """For rows (place, side, node, comp, key, both) sorted by place: pairs of a place in different components that may be alike.
 
     side 0 is compared with side 1, and with itself where a place has only one side. A pair with several keys in common
@@ -172,14 +185,14 @@ def _cross(wave: int):
         if alone:
             right = left
         sig, bits = np.ascontiguousarray(both[:, :COMPONENTS]), np.ascontiguousarray(both[:, COMPONENTS:]).view(np.uint64)
-        keys, own = keys_of(sig), key[0]
+        keys, own = keys_of(sig, distance), key[0]
         us, vs, cut = [], [], False
         for i in range(0, len(left), 32):
             rows = left[i : i + 32]
             apart = (sig[rows][:, None, :] != sig[right][None, :, :]).sum(axis=2)
-            a, b = np.nonzero((apart <= DISTANCE) & (comp[rows][:, None] != comp[right][None, :]))
+            a, b = np.nonzero((apart <= distance) & (comp[rows][:, None] != comp[right][None, :]))
             far = np.bitwise_count(bits[rows[a]] ^ bits[right[b]]).sum(axis=1, dtype=np.int64)
-            a, b, far = (x[far <= FAR] for x in (a, b, far))
+            a, b, far = (x[far <= far_bits] for x in (a, b, far))
             mine = keys[rows[a]]
             shared = mine == keys[right[b]]
             first = mine[np.arange(len(a)), shared.argmax(axis=1)] == own
@@ -231,37 +244,38 @@ def _cross(wave: int):
     return run
 
 
-def _confirm(pairs: DataFrame, sigs: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirm(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int, distance: int) -> DataFrame:
     """(u, v, linked) of distinct pairs within the signature distance."""
     a, b = sigs.select(F.col("node").alias("u"), F.col("sig").alias("sig_u")), sigs.select(F.col("node").alias("v"), F.col("sig").alias("sig_v"))
-    close = pairs.join(a, "u").join(b, "v").select("u", "v", "sig_u", "sig_v").mapInArrow(_near, "u long, v long")
+    close = pairs.join(a, "u").join(b, "v").select("u", "v", "sig_u", "sig_v").mapInArrow(_near(distance), "u long, v long")
     close = materialize(close, "close")
     x, y = sets.select(F.col("node").alias("u"), F.col("shingles").alias("set_u")), sets.select(F.col("node").alias("v"), F.col("shingles").alias("set_v"))
-    return materialize(close.join(x, "u").join(y, "v").select("u", "v", "set_u", "set_v").mapInArrow(_similar, "u long, v long, linked boolean"), "confirmed")
+    return materialize(close.join(x, "u").join(y, "v").select("u", "v", "set_u", "set_v").mapInArrow(_similar(percent), "u long, v long, linked boolean"), "confirmed")
 
 
 def _labelled(links: DataFrame) -> DataFrame:
     return materialize(connected_components(links.where("linked").select("u", "v")), "roots")
 
 
-def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def near_classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """From docs (row, doc_id, text): rows (row, doc_id, n, whole), and the root of each class (whole, root).
 
-    row must be unique and the same each time docs is read.
+    row must be unique and the same each time docs is read. Sets are linked from a similarity of percent / 100 on.
     """
+    distance, far = BOUNDS[percent]
     prepare(docs.sparkSession)
     signed = materialize(docs.select("row", "doc_id", "text").mapInArrow(_signed, "row long, doc_id long, n long, whole binary, sig binary"), "signed")
     first = signed.where("n > 0").groupBy("whole").agg(F.min("row").alias("node")).select("node")
     classes = materialize(signed.withColumnRenamed("row", "node").join(first, "node").select("node", "whole", "sig"), "classes")
     sigs = classes.select("node", "sig")
-    keyed = sigs.mapInArrow(_keyed, "key long, node long")
+    keyed = sigs.mapInArrow(_keyed(distance), "key long, node long")
     shared = keyed.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("members")).where("members > 1")
     buckets = materialize(keyed.join(materialize(shared, "shared"), "key").select("key", "node", "first", "members"), "buckets")
     stars = materialize(buckets.where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v")).distinct(), "stars")
     wanted = materialize(buckets.select("node").distinct(), "wanted")
     texts = docs.select(F.col("row").alias("node"), "text").join(wanted, "node", "left_semi")
     sets = materialize(texts.mapInArrow(_sets, "node long, shingles binary"), "sets")
-    roots, settled = _labelled(_confirm(stars, sigs, sets)), stars  # every star is settled, those beyond the distance too
+    roots, settled = _labelled(_confirm(stars, sigs, sets, percent, distance)), stars  # every star is settled, those beyond the distance too
     several = buckets.where("members > 2").select("key", "node", "members")
     named = lambda df: df.join(roots, "node", "left").select("key", "node", "members", F.coalesce("root", "node").alias("comp"))
     unlike = lambda df: df.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
@@ -279,11 +293,11 @@ def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         dealt = dealt.select(
             F.xxhash64("key", low, high).alias("place"), F.when((F.col("own") == high) & (low != high), 1).otherwise(0).alias("side"), "node", "comp", "key", "both"
         )
-        found = materialize(dealt.repartition("place").sortWithinPartitions("place").mapInArrow(_cross(wave), "u long, v long"), "found")
+        found = materialize(dealt.repartition("place").sortWithinPartitions("place").mapInArrow(_cross(wave, distance, far), "u long, v long"), "found")
         cut = found.where("u < 0").limit(1).count() > 0
         new = materialize(found.where("u >= 0").join(settled, ["u", "v"], "left_anti"), "new")
         if new.limit(1).count():
-            more = _confirm(new, sigs, sets)
+            more = _confirm(new, sigs, sets, percent, distance)
             settled = settled.unionByName(new.select("u", "v"))
             roots = _labelled(more.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"), F.lit(True).alias("linked"))))
         if not cut:
@@ -307,10 +321,10 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def keep_one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """The rows of docs, with all their columns, that stay: of each component the one with the smallest id, then the first."""
     numbered = docs.select("*", F.monotonically_increasing_id().alias("__row"))
-    rows, roots = near_classes(numbered.select(F.col("__row").alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")))
+    rows, roots = near_classes(numbered.select(F.col("__row").alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), percent)
     named = rows.join(roots.withColumnRenamed("whole", "of"), (F.col("whole") == F.col("of")) & (F.col("n") > 0), "left")
     order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("row").alias("row"))
     best = named.where("root IS NOT NULL").groupBy("root").agg(F.min(order).alias("best")).select(F.col("best.row").alias("__row"))

@@ -94,3 +94,19 @@ def test_stage(odd, odd_rows):
 def test_empty_table(empty):
     assert nd.near_dedup(empty).collect() == []
     assert nd.keep_one_per_group(empty).collect() == []
+
+
+def test_stage_links_from_0_8_on(spark, sf_dir):
+    """Pairs of similarity 0.815 (4 of 200 words changed, 176 of 216 shingles in common), and of 0.77, which stay apart."""
+    import corpus_pipeline
+
+    r, rows = random.Random(3), []
+    for k in range(120):
+        base = [f"v{r.randrange(10**6)}" for _ in range(200)]
+        own = list(base)
+        for at in range(10, 40 * (4 if k < 60 else 5), 40):
+            own[at] = f"n{k}"
+        rows += [(2 * k, " ".join(base), "en"), (2 * k + 1, " ".join(own), "en")]
+    docs = make_docs(spark, rows)
+    assert {x["doc_id"] for x in corpus_pipeline.near_dedup(spark, docs, sf_dir).collect()} == {2 * k for k in range(60)} | set(range(120, 240))
+    assert all(x["kept"] for x in nd.near_dedup(docs).collect())
