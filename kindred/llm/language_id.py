@@ -1,6 +1,7 @@
 """Language identification with bit-sliced Bloom filters over character n-grams.
 
-One Bloom filter serves all languages: every slot is a bitmask with a bit per language. Probing an n-gram ANDs
+One Bloom filter serves all languages: every slot is a bitmask with a bit per language, in as many planes of PLANE bits as
+the learned languages need. Probing an n-gram ANDs
 the masks of its PROBES slots, which gives all languages that have it at once. A document's popcount
 per language, corrected for the false positives that the language's share of set bits causes, divided by its
 n-grams is the language's coverage; the highest coverage decides.
@@ -21,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm.common import documents, filter_rows, id_crc, materialize, prepare, slices
+from kindred.llm.common import documents, filter_rows, id_crc, materialize, prepare, slices, table_of
 
 ORDERS, PROBES, SLOTS = (3, 4), 3, 1 << 20
-SAMPLE, RATE, SHARE, LANGUAGES = 3000, 2e-5, 0.5, 64
+SAMPLE, RATE, SHARE, PLANE = 3000, 2e-5, 0.5, 64
 BLOCK = 1 << 19
 UNKNOWN = "und"
 #: Documents whose best language covers less than this are no text in any known language.
@@ -112,11 +113,11 @@ class Model:
 
     def __init__(self, langs: list[str], grams: list[np.ndarray], common: str | None):
         self.langs, self.common = langs, common
-        self.filter = np.zeros(SLOTS, np.uint64)
+        self.filter = np.zeros((-(-len(langs) // PLANE), SLOTS), np.uint64)
         for i, own in enumerate(grams):
             for slots in self.slots(own.view(np.uint64)):
-                self.filter[slots] |= np.uint64(1 << i)
-        fill = [float(((self.filter >> np.uint64(i)) & np.uint64(1)).mean()) for i in range(len(langs))]
+                self.filter[i // PLANE][slots] |= np.uint64(1 << i % PLANE)
+        fill = [float(((self.filter[i // PLANE] >> np.uint64(i % PLANE)) & np.uint64(1)).mean()) for i in range(len(langs))]
         self.false = np.array([f**PROBES for f in fill])
 
     @staticmethod
@@ -131,16 +132,18 @@ class Model:
         hits, total = np.zeros((n, k)), np.zeros(n)
         has = np.bincount(np.repeat(np.arange(n), sizes), codes != 32, minlength=n) > 0
         for h, own in _blocks(codes, sizes):
-            mask = None
-            for slots in self.slots(h):
-                mask = self.filter[slots] if mask is None else mask & self.filter[slots]
             total += np.bincount(own, minlength=n)
-            if k <= 8:  # all popcounts at once
-                seen = np.bincount(own.astype(np.int64) << k | mask.astype(np.int64), minlength=n << k).reshape(n, 1 << k)
-                hits += seen @ ((np.arange(1 << k)[:, None] >> np.arange(k)) & 1)
-            else:
-                for i in range(k):
-                    hits[:, i] += np.bincount(own, (mask >> np.uint64(i)) & np.uint64(1), minlength=n)
+            at = list(self.slots(h))
+            for p, plane in enumerate(self.filter):
+                mask = plane[at[0]]
+                for slots in at[1:]:
+                    mask = mask & plane[slots]
+                if k <= 8:  # all popcounts at once
+                    seen = np.bincount(own.astype(np.int64) << k | mask.astype(np.int64), minlength=n << k).reshape(n, 1 << k)
+                    hits += seen @ ((np.arange(1 << k)[:, None] >> np.arange(k)) & 1)
+                else:
+                    for i in range(p * PLANE, min(k, (p + 1) * PLANE)):
+                        hits[:, i] += np.bincount(own, (mask >> np.uint64(i % PLANE)) & np.uint64(1), minlength=n)
         grams = np.maximum(total, 1)[:, None]
         return np.clip((hits - self.false * grams) / ((1 - self.false) * grams), 0, 1), has
 
@@ -149,21 +152,16 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Model from docs (doc_id, lang, text), all of which may be learned from; null languages and texts are left out."""
     prepare(docs.sparkSession)
     known = docs.where("lang IS NOT NULL")
-    counts = sorted(((r["count"], r["lang"]) for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()), reverse=True)
+    counts = sorted(((r["count"], r["lang"]) for r in known.groupBy("lang").count().collect()), key=lambda x: (-x[0], x[1]))
     if not counts:
         return Model([], [], None)
     langs = sorted(lang for _, lang in counts)
-    cut = F.lit(0)
-    for n, lang in counts:
-        cut = F.when(F.col("lang") == lang, F.lit(int(min(1.0, sample / n) * (1 << 20)))).otherwise(cut)
-    chosen = known.where((F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 20)) < cut) & F.col("text").isNotNull())
+    cuts = table_of(docs.sparkSession, [(lang, int(min(1.0, sample / n) * (1 << 20))) for n, lang in counts], "lang string, cut int")
+    chosen = known.where("text IS NOT NULL").join(F.broadcast(cuts), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 20)) < F.col("cut"))
     grams = chosen.select("lang", "text").mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     grams = materialize(grams, "grams")
-    totals = {r["lang"]: r["n"] for r in grams.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    total = F.lit(1.0)
-    for lang, n in totals.items():
-        total = F.when(F.col("lang") == lang, F.lit(float(n))).otherwise(total)
-    rated = grams.withColumn("rate", F.col("n") / total).where(F.col("rate") >= RATE)
+    totals = grams.groupBy("lang").agg(F.sum("n").cast("double").alias("total"))
+    rated = grams.join(F.broadcast(totals), "lang").select("lang", "gram", (F.col("n") / F.col("total")).alias("rate")).where(F.col("rate") >= RATE)
     most = rated.groupBy("gram").agg(F.max("rate").alias("most"))
     rows = rated.join(most, "gram").where(F.col("rate") >= SHARE * F.col("most")).select("lang", "gram").toPandas()
     by = {lang: g["gram"].to_numpy(np.int64) for lang, g in rows.groupby("lang")}
@@ -174,7 +172,7 @@ def predict(docs: DataFrame, model: Model, extra: list[str] = ()) -> DataFrame:
     """docs (columns `extra`, text) -> extra, lang_pred, score, coverage."""
     spark = docs.sparkSession
     prepare(spark)
-    shared = spark.sparkContext.broadcast(model)  # SLOTS * 8 bytes, whatever the table
+    shared = spark.sparkContext.broadcast(model)  # SLOTS * 8 bytes for each 64 languages, whatever the rows
 
     def run(batches):
         m = shared.value

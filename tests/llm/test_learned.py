@@ -55,6 +55,18 @@ def test_language_unknown_without_labels(spark):
     assert language_id.keep_known_languages(docs).count() == 4
 
 
+def test_more_languages_than_a_plane_has_bits(spark):
+    """130 languages of words of their own, the rarest ones last: all are learned, and none of their documents is lost."""
+    rng, rows = np.random.default_rng(0), []
+    for k in range(130):
+        words = ["".join(chr(0x4E00 + 100 * k + c) for c in rng.integers(0, 100, 5)) for _ in range(30)]
+        rows += [(200 * k + i, " ".join(rng.choice(words, 20)), f"l{k:03}") for i in range(20 if k < 66 else 12)]
+    docs = make_docs(spark, rows)
+    truth = {i: lang for i, _, lang in rows}
+    assert all(r["lang_pred"] == truth[r["doc_id"]] for r in language_id.language_id(docs).collect())
+    assert language_id.keep_known_languages(docs).count() == len(rows)
+
+
 def test_language_stage_keeps_clean(tables):
     docs, _ = tables
     kept = language_id.keep_known_languages(docs)
