@@ -13,9 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.plans.storage import discard, materialize, prepare
+from kindred.plans.storage import materialize, prepare, scratch
 
-FOREST = 1_000_000
+#: Nodes that a task joins at a time, and edges that are few enough for one task.
+FOREST, FEW = 1_000_000, 200_000
 
 
 def _forest(batches):
@@ -43,8 +44,11 @@ def _forest(batches):
 
 
 def _joined(edges: DataFrame) -> DataFrame:
-    """edges (u, v) as (u, v) with v < u, at most one for each node and task."""
-    return materialize(edges.select("u", "v").mapInArrow(_forest, "u long, v long"), "edges")
+    """edges (u, v) as (u, v) with v < u, at most one for each node and task. FEW edges are joined by one task, more by as many as they have."""
+    few = edges.limit(FEW + 1).count() <= FEW
+    out = materialize((edges.coalesce(1) if few else edges).select("u", "v").mapInArrow(_forest, "u long, v long"), "edges")
+    out.joined = few
+    return out
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -63,6 +67,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def _settled(edges: DataFrame) -> bool:
     """Whether every node has one edge down, and to a node that has none: then that is the smallest of its component."""
+    if edges.joined:
+        return True
     ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
     open_ = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 OR (down = 1 AND up = 1)")
     return open_.limit(1).count() == 0
@@ -71,9 +77,9 @@ def _settled(edges: DataFrame) -> bool:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for the nodes of edges (u, v: long); root is the smallest node of the component, and has no row."""
     prepare(edges.sparkSession)
-    now = _joined(edges.where("u <> v"))
-    while not _settled(now):
-        after = _joined(_small_star(_large_star(now)))
-        discard(now)
-        now = after
+    with scratch() as keep:
+        now = _joined(edges.where("u <> v"))
+        while not _settled(now):
+            now = _joined(materialize(_small_star(_large_star(now)), "stars"))
+        keep(now)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -2,21 +2,31 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOTS: dict[str, str] = {}
+_SCOPES = threading.local()
 
 
 def shared_root(spark: SparkSession) -> str:
-    """A folder under spark.checkpoint.dir; only a session without that setting gets a temporary one."""
+    """A folder under spark.checkpoint.dir.
+
+    Only a session in one process (master local or local[n]) may leave that unset and gets a temporary folder; on a cluster
+    the executors would each write to a disk of their own, so there it is an error.
+    """
     app = spark.sparkContext.applicationId
     if app not in _ROOTS:
         root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
         if not root:
+            master = spark.sparkContext.master
+            if master != "local" and not master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             root = "file://" + tempfile.mkdtemp(prefix="kindred-")
         _ROOTS[app] = f"{root.rstrip('/')}/kindred-{app}"
     return _ROOTS[app]
@@ -32,9 +42,35 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.shared_path = path
+    if scopes := getattr(_SCOPES, "open", None):
+        scopes[-1].append(out)
     return out
 
 
+@contextlib.contextmanager
+def scratch():
+    """Delete the tables that materialize() makes inside when the block ends, but for those handed to what this yields."""
+    scopes = _SCOPES.open = getattr(_SCOPES, "open", [])
+    own: list[DataFrame] = []
+    kept: list[DataFrame] = []
+    scopes.append(own)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    try:
+        yield keep
+    finally:
+        scopes.pop()
+        for df in own:
+            if any(df is k for k in kept):
+                if scopes:
+                    scopes[-1].append(df)
+            else:
+                discard(df)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by materialize() that nothing reads any more."""
     path = getattr(df, "shared_path", None)
@@ -46,7 +82,8 @@ def discard(df: DataFrame) -> None:
 def prepare(spark: SparkSession) -> None:
     """Let Python workers import this package (a cluster installs it or gets --py-files), and keep their batches small.
 
-    Batches of long texts are held several times over, in the JVM and in Python; a setting of the user's own stays.
+    Batches of long texts are held several times over, in the JVM and in Python: this session's Arrow batches have 2,000
+    rows from now on, where the setting has Spark's default; a setting of the user's own stays.
     """
     here = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
