@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.plans.storage import discard, materialize, prepare, shared_root  # noqa: F401
+from kindred.plans.storage import discard, materialize, prepare, scratch, shared_root  # noqa: F401
 
 #: Words everywhere in this subpackage: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,6 +24,27 @@ def id_crc(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
 
 
+def text_sha(text: Column) -> Column:
+    """SHA-256 of a text's bytes; a null text counts as empty."""
+    return F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")).cast("binary"), 256))
+
+
+def without(docs: DataFrame, doc_id: str, text: str, gone: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, but for those in gone (doc_id, sha, stays: boolean), a row for each id and text_sha.
+
+    Where `stays` holds, one of the rows with that id and text stays (that with the least hash of all columns). Rows are found
+    by what they hold, so the result doesn't depend on how docs is split when it is read again.
+    """
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{doc_id}`").cast("long").alias("id"), text_sha(F.col(f"`{text}`")).alias("of"))
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("of") == F.col("sha"))
+    out = packed.join(gone, same, "left_anti").select("row.*")
+    once = gone.where("stays")
+    if not once.limit(1).count():
+        return out
+    whole = F.xxhash64(*[F.col("row").getField(c).cast("string") for c in docs.columns])
+    return out.unionByName(packed.join(once, same, "left_semi").groupBy("id", "of").agg(F.min_by("row", whole).alias("row")).select("row.*"))
+
+
 def hold(df: DataFrame, **columns: Column) -> DataFrame:
     """Add columns that are computed once, even if lambdas use them often.
 

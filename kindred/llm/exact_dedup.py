@@ -3,9 +3,10 @@
 The distinct digests of a historical corpus are split into buckets of a few hundred keys, and
 each bucket gets a minimal perfect hash (hash and displace: keys fall into small groups, every
 group stores a pilot number that sends its keys to free slots, n keys fill n slots). A slot holds
-the full 32-byte digest, the locator of the winner and the group's size. An incoming digest
-computes its slot with two equi-joins (pilot, slot) and is a member only if all 32 bytes agree;
-digests that fail the byte check are grouped among themselves.
+the full 32-byte digest, the locator of the winner and the group's size. An index is saved in a folder
+and can be opened again, by another run, to look later batches up. An incoming digest
+computes its slot with two equi-joins (its bucket's pilot, then the slot by number), and is a member only if all
+32 bytes of what the slot holds agree; digests that fail this byte check are grouped among themselves.
 
 Scale: text is read once, in one narrow pass that emits (id, digest). Groups of copies are
 aggregated on both sides before any look-up, so a text that fills a third of the table costs one
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm.common import documents, materialize, prepare
+from kindred.llm.common import documents, materialize, prepare, scratch, text_sha, without
 
 #: Keys per bucket on average, and keys per pilot.
 BUCKET_KEYS, GROUP_KEYS = 512, 4
@@ -120,58 +121,88 @@ def _number(sha, start: int, n: int):
     return F.conv(F.hex(F.substring(sha, start, n)), 16, 10).cast("long")
 
 
-def build_index(distinct: DataFrame) -> tuple[DataFrame, int]:
-    """Index of a table (sha, winner, n) of distinct digests; also the number of buckets."""
-    buckets = max(1, -(-distinct.count() // BUCKET_KEYS))
-    placed = distinct.select("sha", "winner", "n", (_number(F.col("sha"), 1, 4) % buckets).alias("bucket"))
-    return materialize(placed.groupBy("bucket").applyInPandas(_build, _INDEX), "mph"), buckets
-
+class DigestIndex:
+    """A saved perfect hash over distinct digests: pilots (slot_bucket, pilot_group, pilot, slots) and slots (slot_bucket, slot, held, held_winner, held_n)."""
+
+    def __init__(self, table: DataFrame, buckets: int):
+        self.table, self.buckets = table, buckets
+
+    @classmethod
+    def build(cls, distinct: DataFrame, path: str | None = None) -> DigestIndex:
+        """Index of a table (sha, winner, n) of distinct digests, saved under path, or for this run only."""
+        buckets = max(1, -(-distinct.count() // BUCKET_KEYS))
+        placed = distinct.select("sha", "winner", "n", (_number(F.col("sha"), 1, 4) % buckets).alias("bucket"))
+        table = placed.groupBy("bucket").applyInPandas(_build, _INDEX)
+        if path is None:
+            return cls(materialize(table, "mph"), buckets)
+        table.withColumn("buckets", F.lit(buckets)).write.parquet(path)
+        return cls.open(distinct.sparkSession, path)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> DigestIndex:
+        table = spark.read.schema(f"{_INDEX}, buckets long").parquet(path)
+        found = table.select("buckets").first()
+        return cls(table.drop("buckets"), found[0] if found else 1)
+
+    def slots(self) -> DataFrame:
+        return self.table.where("kind = 1").select(
+            F.col("bucket").alias("slot_bucket"), F.col("idx").alias("slot"), F.col("sha").alias("held"), F.col("winner").alias("held_winner"), F.col("n").alias("held_n")
+        )
+
+    def slot_of(self, incoming: DataFrame) -> DataFrame:
+        """incoming (sha, ...) with slot_bucket and slot: the only place where each digest could be; null in a bucket without keys."""
+        pilots = self.table.where("kind = 0").select(F.col("bucket").alias("slot_bucket"), F.col("idx").alias("pilot_group"), "pilot", F.col("n").alias("slots"))
+        sizes = pilots.groupBy("slot_bucket").agg(F.count("*").alias("pilot_groups"), F.first("slots").alias("slots_in"))
+        placed = incoming.withColumn("slot_bucket", _number(F.col("sha"), 1, 4) % self.buckets).join(sizes, "slot_bucket", "left")
+        placed = placed.withColumn("pilot_group", _number(F.col("sha"), 9, 4) % F.col("pilot_groups"))
+        found = placed.join(pilots.drop("slots"), ["slot_bucket", "pilot_group"], "left")
+        return found.withColumn("slot", F.expr("pmod(xxhash64(sha, pilot), slots_in)")).drop("pilot_group", "pilot_groups", "pilot", "slots_in")
+
+    def look_up(self, incoming: DataFrame) -> DataFrame:
+        """incoming (sha, ...) with slot_bucket, slot, what the slot holds (held, held_winner, held_n) and member: whether all its bytes agree."""
+        found = self.slot_of(incoming).join(self.slots(), ["slot_bucket", "slot"], "left")
+        return found.withColumn("member", F.coalesce(F.col("held") == F.col("sha"), F.lit(False)))
+
+
+def verdicts(index: DigestIndex, incoming: DataFrame) -> DataFrame:
+    """One row per distinct digest of the index and of incoming (sha, winner, n; a row per digest): winner is the largest id, n the rows."""
+    seen = materialize(index.look_up(incoming), "lookup")
+    known = seen.where("member").select("slot_bucket", "slot", "winner", "n")
+    held = index.slots().join(known, ["slot_bucket", "slot"], "left").select(
+        F.col("held").alias("sha"), F.greatest("held_winner", "winner").alias("winner"), (F.col("held_n") + F.coalesce("n", F.lit(0))).alias("n")
+    )
+    return held.unionByName(seen.where("NOT member").select("sha", "winner", "n"))
 
-def look_up(incoming: DataFrame, index: DataFrame, buckets: int) -> DataFrame:
-    """`incoming` (sha, ...) with slot_bucket and slot: the only place where each digest could be."""
-    pilots = index.where("kind = 0").select(F.col("bucket").alias("slot_bucket"), F.col("idx").alias("pilot_group"), "pilot", F.col("n").alias("slots"))
-    sizes = pilots.groupBy("slot_bucket").agg(F.count("*").alias("pilot_groups"), F.first("slots").alias("slots_in"))
-    placed = incoming.withColumn("slot_bucket", _number(F.col("sha"), 1, 4) % buckets).join(sizes, "slot_bucket", "left")
-    placed = placed.withColumn("pilot_group", _number(F.col("sha"), 9, 4) % F.col("pilot_groups"))
-    found = placed.join(pilots.drop("slots"), ["slot_bucket", "pilot_group"], "left")
-    return found.withColumn("slot", F.expr("pmod(xxhash64(sha, pilot), slots_in)")).drop("pilot_group", "pilot_groups", "pilot", "slots_in")
 
+def grouped(rows: DataFrame) -> DataFrame:
+    """(sha, winner, n) of rows (doc_id, sha, copies)."""
+    return rows.groupBy("sha").agg(F.max("doc_id").alias("winner"), F.sum("copies").alias("n"))
 
-def verdicts(history: DataFrame, incoming: DataFrame) -> DataFrame:
-    """One row per distinct digest of both (sha, winner, n): winner is the largest id, n the rows.
 
-    Both tables have the columns sha, winner, n and one row per digest.
-    """
-    index, buckets = build_index(history)
-    slots = index.where("kind = 1").select(F.col("bucket").alias("slot_bucket"), F.col("idx").alias("slot"), F.col("sha").alias("held"), F.col("winner").alias("held_winner"), F.col("n").alias("held_n"))
-    seen = materialize(look_up(incoming, index, buckets), "lookup")
-    same = (slots.slot_bucket == seen.slot_bucket) & (slots.slot == seen.slot) & (slots.held == seen.sha)
-    members = slots.join(seen, same, "left").select(
-        F.col("held").alias("sha"),
-        F.greatest("held_winner", "winner").alias("winner"),
-        (F.col("held_n") + F.coalesce("n", F.lit(0))).alias("n"),
-    )
-    others = seen.join(slots, same, "left_anti").select("sha", "winner", "n")
-    return members.unionByName(others)
+def _halves(rows: DataFrame) -> DataFrame:
+    """verdicts() of rows (doc_id, sha, copies): ids up to the middle of their range are the history, the rest comes in against it."""
+    low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
+    old = F.coalesce(F.col("doc_id") <= (0 if low is None else (low + high) // 2), F.lit(False))
+    with scratch() as keep:
+        index = DigestIndex.build(materialize(grouped(rows.where(old)), "history"))
+        return keep(materialize(verdicts(index, grouped(rows.where(~old))), "verdicts"))
 
 
-def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", index: DigestIndex | None = None) -> DataFrame:
     """Groups of rows whose texts agree after lower-casing A-Z.
 
     Returns a row per input row: doc_id, keep_id, group_size, kept, text_sha256. The row with the
-    largest id of a group stays. The table's older half (ids up to the middle of their range) is
-    the history that the perfect hash indexes, the rest comes in against it.
+    largest id of a group stays. With an index of earlier documents (see DigestIndex), docs come in against it, and a row stays
+    only if no earlier document has a larger id. Without one, the table's older half (ids up to the middle of their range) is
+    the history that the perfect hash indexes, and the rest comes in against it.
 
     Defined cases: a null text is the empty text; a null id is smaller than any other and belongs
     to the incoming part; rows that repeat an id and a text are all returned, and only one of
     them stays; other columns are ignored; an empty table gives an empty result.
     """
-    rows = materialize(digests(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("__t")), ["doc_id"], "__t").groupBy("doc_id", "sha").agg(F.count("*").alias("copies")), "digests")
-    low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
-    middle = 0 if low is None else (low + high) // 2
-    group = lambda df: df.groupBy("sha").agg(F.max("doc_id").alias("winner"), F.sum("copies").alias("n"))
-    old = F.coalesce(F.col("doc_id") <= middle, F.lit(False))
-    best = verdicts(materialize(group(rows.where(old)), "history"), group(rows.where(~old)))
+    picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("__t"))
+    rows = materialize(digests(picked, ["doc_id"], "__t").groupBy("doc_id", "sha").agg(F.count("*").alias("copies")), "digests")
+    best = verdicts(index, grouped(rows)) if index else _halves(rows)
     copy = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")
     return rows.join(best, "sha").select("doc_id", "sha", "winner", "n", copy).select(
         "doc_id",
@@ -183,21 +214,19 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def keep_winners(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns.
+    """The rows of docs that stay, with all their columns: of equal texts (but for the case of A-Z) the one with the largest id.
 
-    Of rows that repeat an id and a text the first in reading order stays. Row numbers tie the
-    verdicts to the rows, so docs must read the same each time, as a table of files does.
+    Of rows with that id the one with the least digest of the text as it is stays, and of those that repeat both, one.
     """
-    numbered = docs.select("*", F.monotonically_increasing_id().alias("__row"))
-    ids = numbered.select("__row", F.col(doc_id).cast("long").alias("__id"), F.col(text).alias("__t"))
-    rows = materialize(digests(ids, ["__row", "__id"], "__t"), "digests")
-    low, high = rows.agg(F.min("__id"), F.max("__id")).first()
-    middle = 0 if low is None else (low + high) // 2
-    old = F.coalesce(F.col("__id") <= middle, F.lit(False))
-    group = lambda df: df.groupBy("sha").agg(F.max("__id").alias("winner"), F.count("*").alias("n"))
-    best = verdicts(materialize(group(rows.where(old)), "history"), group(rows.where(~old)))
-    top = rows.join(best, (rows.sha == best.sha) & rows["__id"].eqNullSafe(best.winner)).groupBy(rows.sha).agg(F.min("__row").alias("__row"))
-    return numbered.join(top.select("__row"), "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    with scratch() as keep:
+        ids = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_sha(F.col(text)).alias("raw"), F.col(text).alias("__t"))
+        rows = materialize(digests(ids, ["doc_id", "raw"], "__t").groupBy("doc_id", "raw", "sha").agg(F.count("*").alias("copies")), "digests")
+        named = rows.join(_halves(rows).drop("n"), "sha").withColumn("top", F.col("doc_id").eqNullSafe(F.col("winner")))
+        named = materialize(named, "named")
+        stay = named.where("top").groupBy("sha").agg(F.min("raw").alias("least"))
+        judged = named.join(stay, "sha").select("doc_id", F.col("raw").alias("sha"), "copies", (F.col("top") & (F.col("raw") == F.col("least"))).alias("stays"))
+        gone = keep(materialize(judged.where("NOT stays OR copies > 1").drop("copies"), "gone"))
+    return without(docs, doc_id, text, gone)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 SMALL = "/root/testdata/sf0.001"
 
 #: Columns whose names the operators use inside; all carry a value that must come back untouched.
-EXTRA = ("row", "sha", "n", "winner", "key", "kept", "score", "root", "whole", "node", "features", "word", "c", "place", "stratum", "lang_pred", "rid")
+EXTRA = ("row", "sha", "n", "winner", "key", "kept", "score", "root", "whole", "node", "features", "word", "c", "place", "stratum", "lang_pred", "rid", "__row", "__id", "id", "of", "stays", "leaf", "gone")
 
 
 @pytest.fixture(scope="session")

@@ -4,7 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from kindred.llm.exact_dedup import build_bucket, exact_dedup, keep_winners
+from kindred.llm.exact_dedup import DigestIndex, build_bucket, digests, exact_dedup, grouped, keep_winners
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -44,6 +44,35 @@ def test_stage_keeps_winners_with_all_columns(odd, odd_rows):
     assert all(r["sha"] == "sha!" and r["row"] == "row!" for r in rows)
 
 
+def test_saved_index(spark, small, tmp_path):
+    """An index of the first half is saved, opened again, and looked up by slot: members are what it holds, all else fails the byte check."""
+    import pyspark.sql.functions as F
+
+    from tests.llm.conftest import make_docs
+
+    old, new = small[:100], [*small[100:], *[(1000 + i, t, lang) for i, t, lang in small[:20]]]
+    rows = digests(make_docs(spark, old), ["doc_id"]).withColumn("copies", F.lit(1))
+    DigestIndex.build(grouped(rows), str(tmp_path / "index"))
+    index = DigestIndex.open(spark, str(tmp_path / "index"))
+    held = {digest(t) for _, t, *_ in old}
+    seen = index.look_up(digests(make_docs(spark, new), ["doc_id"])).collect()
+    assert len(seen) == len(new) and all(r["member"] == (r["sha"].hex() in held) for r in seen)
+    assert any(r["held"] is not None and not r["member"] for r in seen)
+    best, sizes = brute([*old, *new])
+    out = exact_dedup(make_docs(spark, new), index=index).collect()
+    assert sorted((r["doc_id"], r["keep_id"], r["group_size"]) for r in out) == sorted((i, best[digest(t)], sizes[digest(t)]) for i, t, *_ in new)
+
+
+def test_other_splits_when_read_again(spark, sf_dir, small):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    spark.conf.set("spark.sql.files.minPartitionNum", "4")
+    out = keep_winners(docs)
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    got = [r["doc_id"] for r in out.collect()]
+    spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert sorted(got) == sorted(brute(small)[0].values())
+
+
 def test_empty_table(empty):
     assert exact_dedup(empty).collect() == []
     assert keep_winners(empty).collect() == []

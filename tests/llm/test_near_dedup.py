@@ -65,9 +65,12 @@ def test_components(spark, request, which):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in out)
 
 
-def test_blocks_and_waves_lose_nothing(spark, monkeypatch):
+@pytest.mark.parametrize("split", [32, 1])
+def test_blocks_waves_and_finer_keys_lose_nothing(spark, monkeypatch, split):
     monkeypatch.setattr(nd, "BLOCK", 4)
     monkeypatch.setattr(nd, "WAVE", 1)
+    monkeypatch.setattr(nd, "SPLIT", split)
+    monkeypatch.setattr(nd, "LEVELS", 2)
     rows = planted(2, families=3, copies=30)
     out = nd.near_dedup(make_docs(spark, rows)).collect()
     assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in out) == sorted(brute(rows))
@@ -81,7 +84,8 @@ def test_pigeonhole_keys():
     b = a.copy()
     for row in b:
         row[rng.choice(nd.COMPONENTS, nd.DISTANCE, replace=False)] ^= 1
-    assert (nd.keys_of(a) == nd.keys_of(b)).any(axis=1).all()
+    for level in range(3):
+        assert (nd.keys_of(a, level=level) == nd.keys_of(b, level=level)).any(axis=1).all()
 
 
 def test_stage(odd, odd_rows):
@@ -91,6 +95,42 @@ def test_stage(odd, odd_rows):
     assert ids.count(4) == 1 and 5 not in ids and 8 not in ids and {1, 2, 3, 7} <= set(ids) and ids.count(None) == 2
 
 
+def test_other_splits_when_read_again(spark, sf_dir):
+    """Files are split otherwise when the stage runs than when it was planned; all rows come out the same."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    want = sorted(r["doc_id"] for r in nd.keep_one_per_group(docs).collect())
+    spark.conf.set("spark.sql.files.minPartitionNum", "4")
+    out = nd.keep_one_per_group(docs)
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    got = sorted(r["doc_id"] for r in out.collect())
+    spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert got == want and got
+
+
+def test_splits_that_change_between_jobs(spark, sf_dir, monkeypatch):
+    docs, parts, real = spark.read.parquet(f"{sf_dir}/documents.parquet"), [1, 5, 2, 7], nd.materialize
+    want = sorted(map(tuple, nd.near_dedup(docs).collect()))
+
+    def changing(df, tag):
+        parts.append(parts.pop(0))
+        spark.conf.set("spark.sql.files.minPartitionNum", str(parts[0]))
+        return real(df, tag)
+
+    monkeypatch.setattr(nd, "materialize", changing)
+    got = sorted(map(tuple, nd.near_dedup(docs).collect()))
+    spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert got == want
+
+
+def test_repeated_rows_of_one_id(spark):
+    """Rows that repeat an id and a text, in several tasks: one of them stays, and links are not multiplied."""
+    base = " ".join(f"w{i}" for i in range(80))
+    rows = [(7, base, "en")] * 40 + [(8, base + " more", "en")] * 3
+    docs = make_docs(spark, rows).repartition(8)
+    assert [r["doc_id"] for r in nd.keep_one_per_group(docs).collect()] == [7]
+    assert {r["component_id"] for r in nd.near_dedup(docs).collect()} == {7}
+
+
 def test_empty_table(empty):
     assert nd.near_dedup(empty).collect() == []
     assert nd.keep_one_per_group(empty).collect() == []
