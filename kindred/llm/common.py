@@ -24,6 +24,15 @@ def id_crc(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
 
 
+#: Rows (of an id and a digest) that may be broadcast: some 30 MB.
+FEW = 250_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """df, a table of ids and digests, to be broadcast if it was counted to have FEW rows at most; else it is joined by a shuffle."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+
+
 def text_sha(text: Column) -> Column:
     """SHA-256 of a text's bytes; a null text counts as empty."""
     return F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")).cast("binary"), 256))
@@ -37,7 +46,7 @@ def without(docs: DataFrame, doc_id: str, text: str, gone: DataFrame) -> DataFra
     """
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{doc_id}`").cast("long").alias("id"), text_sha(F.col(f"`{text}`")).alias("of"))
     same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("of") == F.col("sha"))
-    out = packed.join(gone, same, "left_anti").select("row.*")
+    out = packed.join(few(gone), same, "left_anti").select("row.*")
     once = gone.where("stays")
     if not once.limit(1).count():
         return out

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm.common import documents, materialize, prepare, scratch, slices, text_sha, without
+from kindred.llm.common import documents, few, materialize, prepare, scratch, slices, text_sha, without
 from kindred.operators.components import connected_components
 
 WORDS, COMPONENTS, DISTANCE, PERCENT = 5, 64, 19, 85
@@ -334,7 +334,7 @@ def near_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         stars = buckets.where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v")).distinct()
         stars = materialize(_sides(stars, sigs, "sig").mapInArrow(_near(distance), "u long, v long"), "stars")
         wanted = materialize(classes.join(buckets.select("node").distinct(), "node").select("node", F.col("doc_id").alias("of"), F.col("sha").alias("of_sha")), "wanted")
-        texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("sha") == F.col("of_sha"))).select("node", "text")
+        texts = docs.join(few(wanted), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("sha") == F.col("of_sha"))).select("node", "text")
         sets = materialize(texts.mapInArrow(_sets, "node long, shingles binary"), "sets")
         if sets.groupBy("node").count().where("count > 1").limit(1).count():  # rows that repeat an id and a text, in several tasks
             sets = materialize(sets.dropDuplicates(["node"]), "sets")
