@@ -10,7 +10,7 @@ from kindred.llm.line_dedup import OP1_SQL, op1_line_dedup
 from kindred.llm.near_dedup import op5_near_dedup
 from kindred.llm.packing import op9_packing
 from kindred.llm.quality_classifier import op10_quality_classifier
-from kindred.llm.quality_rules import op3_quality_rules
+from kindred.llm.quality_rules import OP3_SQL, op3_quality_rules
 from kindred.llm.toxicity import op8_toxicity
 
 
@@ -30,4 +30,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_line_dedup": OP1_SQL, "op7_exact_dedup": OP7_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op3_quality_rules": OP3_SQL, "op7_exact_dedup": OP7_SQL}
