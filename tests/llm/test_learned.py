@@ -98,16 +98,107 @@ def test_toxicity_odd_rows(odd, odd_rows, empty, no_labels):
 
 def test_grammar_reads_clauses():
     lexicon = toxicity.Lexicon({"idiot": 3.0}, {})
-    read = lambda t: dict(zip(toxicity.CHANNELS, toxicity.channels(lexicon.symbols(t), lexicon.levels)))
+    read = lambda t: dict(zip(toxicity.CHANNELS, toxicity.channels(lexicon.symbols(t), lexicon.machine())))
     assert read("What a fool idiot.")["plain"] > 0
     assert read("You are an idiot.")["aimed"] > 0
     assert read("He is not an idiot.")["negated"] > 0
     assert read("Someone said idiot.")["reported"] > 0
-    assert read("I will kill you.")["threat"] == 1
+    assert read("I will kill you.")["threat"] == 3
+    assert read("They kill.")["threat"] == 3
     assert read("I will kill. You went home.")["threat"] == 0
+    assert read("I will not kill you.")["threat"] == 0
     assert read("Good morning to you.")["clauses"] == 0
 
 
+def test_composition_is_one_machine_after_the_other():
+    tape = [toxicity.Mark(k) for k in (toxicity.OTHER, toxicity.STOP, toxicity.NOT, toxicity.TARGET, toxicity.REPORT)]
+    tape += [toxicity.Mark(toxicity.THREAT, k) for k in range(2)] + [toxicity.Mark(toxicity.INSULT, k) for k in range(3)]
+    first = toxicity.negation(tape)
+    second = toxicity.after(first.written(), toxicity.TARGET, "t")
+    third = toxicity.insult(toxicity.threat(second.written()).written(), [1.0, 2.0, 4.0], [3.0, 5.0])
+    machines = [first, second, toxicity.threat(second.written()), third]
+    whole = machines[0]
+    for m in machines[1:]:
+        whole = toxicity.compose(whole, m)
+    rng = np.random.default_rng(0)
+    for _ in range(300):
+        word = [tape[i] for i in rng.integers(0, len(tape), 12)]
+
+        def through(machine, symbols):
+            state, out, weight = machine.start, [], 0.0
+            for x in symbols:
+                state, y, w = machine.arcs[state, x]
+                out.append(y)
+                weight += w
+            return out, weight
+
+        step, total = word, 0.0
+        for m in machines:
+            step, w = through(m, step)
+            total += w
+        assert through(whole, word) == (step, total)
+
+
+def naive_channels(lexicon, text):
+    """The grammar straight from its description, clause by clause."""
+    t = toxicity
+    out, clause, clauses = dict.fromkeys(t.CHANNELS, 0.0), [], []
+    for s in lexicon.symbols(text):
+        if s == t.STOP:
+            clauses.append(clause)
+            clause = []
+        else:
+            clause.append(s)
+    for clause in [*clauses, clause]:
+        total, pending, target = 0.0, None, False
+        for i, s in enumerate(clause):
+            negated = any(x == t.NOT for x in clause[max(0, i - t.NEAR) : i])
+            before = clause[:i]
+            if s >= t.INSULT:
+                kind = "negated" if negated else "reported" if t.REPORT in before else "aimed" if t.TARGET in before else "plain"
+                out[kind] += lexicon.levels[s - t.INSULT]
+                total += lexicon.levels[s - t.INSULT]
+            elif s == t.TARGET:
+                if pending is not None:
+                    out["threat"] += lexicon.threat_levels[pending]
+                    total += lexicon.threat_levels[pending]
+                pending, target = None, True
+            elif t.THREAT <= s < t.THREAT + t.THREATS and not negated:
+                if target:
+                    out["threat"] += lexicon.threat_levels[s - t.THREAT]
+                    total += lexicon.threat_levels[s - t.THREAT]
+                else:
+                    pending = max(s - t.THREAT, -1 if pending is None else pending)
+        out["strongest"] = max(out["strongest"], total)
+        out["clauses"] += total > 0
+    return out
+
+
+def test_toxicity_against_a_naive_grammar(spark, sf_dir):
+    """Every score of the smallest table from the learned lexicon and weights, without any machine."""
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    own = spark.createDataFrame([(r["doc_id"], r["toxic"]) for r in labels.collect() if crc(r["doc_id"]) % 3 != 1], "doc_id long, toxic int")
+    model = toxicity.train(docs.select("doc_id", "text"), own)
+    text = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    for r in toxicity.toxicity(docs, labels).collect():
+        c = naive_channels(model.lexicon, text[r["doc_id"]])
+        five = [c[k] for k in toxicity.CHANNELS[:5]]
+        z = np.dot(model.weights, [1, math.log1p(sum(five[:4])), *map(math.log1p, five), math.log1p(c["strongest"]), math.log1p(c["clauses"])])
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))), abs=1e-9)
+
+
+def test_threats_and_targets_are_learned(spark):
+    rng, rows = np.random.default_rng(0), []
+    for i in range(120):
+        fill = [f"f{x}" for x in rng.integers(0, 400, 12)]
+        # "gronk" stands before you; "zonkers" before "blarg", which insults.
+        bad = ["gronk", "you", f"g{i}", ".", "zonkers", "blarg", f"b{i}", "."] if i % 2 else []
+        rows.append((i % 2, i // 2 % 2, " ".join(fill[:6] + bad + fill[6:])))
+    lexicon = toxicity.learn_lexicons(spark.createDataFrame(rows, "toxic int, half int, text string"))[2]
+    assert toxicity.THREAT <= lexicon.word("gronk") < toxicity.INSULT <= lexicon.word("blarg")
+    assert lexicon.word("f1") == toxicity.OTHER
+
+
 def test_quality(tables):
     docs, labels = tables
     truth = {r["doc_id"]: r["quality"] for r in labels.collect()}
