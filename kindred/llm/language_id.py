@@ -217,7 +217,8 @@ def language_id(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lan
 def keep_known_languages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of docs, with all their columns, whose text is in a known language (coverage COVERAGE at least).
 
-    Texts without a letter go. Where no language is known (no labels at all) nothing can be judged and all stay.
+    Null and empty texts and those without a letter go; rows that repeat are judged alike. Where no language is known (no labels at
+    all) nothing can be judged and all stay.
     """
     model = train(_picked(docs, doc_id, text, lang).where(id_crc(F.col("doc_id")) % 4 != 2))
     if not model.langs:

@@ -215,14 +215,13 @@ def seed(sequences: list[np.ndarray], prior: np.ndarray, states: int = STATES) -
     long = [s for s in sequences if len(s) >= 40] or sequences
     if not long:
         return maximise(np.zeros(states), move * 100, np.zeros((states, k)), prior)
-    profile = [np.bincount(s, minlength=k) / len(s) for s in long[:300]]
-    chosen, best = [], np.array([p @ np.log(prior) for p in profile])
+    profile = np.array([np.bincount(s, minlength=k) / len(s) for s in long], np.float32)
+    chosen, best = [], profile @ np.log(prior)
     for _ in range(states):
-        gain = np.array([p @ np.log(0.5 * p + 0.5 * prior) for p in profile]) - best
+        gain = np.array([p[at] @ np.log(0.5 * p[at] + 0.5 * prior[at]) for p, at in ((p, np.flatnonzero(p)) for p in profile)]) - best
         i = int(gain.argmax())
         chosen.append(profile[i])
-        mixed = np.log(0.7 * profile[i] + 0.3 * prior)
-        best = np.maximum(best, np.array([p @ mixed for p in profile]))
+        best = np.maximum(best, profile @ np.log(0.7 * profile[i] + 0.3 * prior))
     model = Markov(start, move, np.array([0.5 * p + 0.5 * prior for p in chosen]))
     for _ in range(SEED_ROUNDS):
         model = maximise(*model.expected(sequences)[:3], prior)
@@ -300,7 +299,7 @@ def lm_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", table:
     prior = (words.class_counts + 0.5) / (words.class_counts + 0.5).sum()
     n = training.count()
     part = int(min(1.0, SEED / max(1, n)) * (1 << 20))
-    chosen = training.where(F.pmod(F.xxhash64("doc_id", F.lit("model")), F.lit(1 << 20)) < part).where("n_tokens <= 5000").select("doc_id", "codes")
+    chosen = training.where(F.pmod(F.xxhash64("doc_id", F.lit("model")), F.lit(1 << 20)) < part).select("doc_id", "codes")
     model = seed([np.frombuffer(r["codes"], np.uint16) for r in sorted(chosen.collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["codes"]))], prior)
     for _ in range(ROUNDS if n else 0):
         model = baum_welch(training, model, prior)

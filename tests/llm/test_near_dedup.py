@@ -16,7 +16,7 @@ def shingles(text):
     return frozenset(tuple(ws[i : i + 5]) for i in range(len(ws) - 4)) if len(ws) >= 5 else frozenset([tuple(ws)])
 
 
-def brute(rows):
+def brute(rows, percent=85):
     sets = [shingles(t) for _, t, *_ in rows]
     parent = list(range(len(rows)))
 
@@ -28,7 +28,7 @@ def brute(rows):
     for i in range(len(rows)):
         for j in range(i):
             a, b = sets[i], sets[j]
-            if a and b and 100 * min(len(a), len(b)) >= 85 * max(len(a), len(b)) and 100 * len(a & b) >= 85 * len(a | b):
+            if a and b and 100 * min(len(a), len(b)) >= percent * max(len(a), len(b)) and 100 * len(a & b) >= percent * len(a | b):
                 parent[find(i)] = find(j)
     least = {}
     for i, (d, *_) in enumerate(rows):

@@ -29,7 +29,7 @@ def test_every_stage_against_brute_force(spark, sf_dir):
             best = brute_exact(rows)[0]
             want = set(best.values())
         else:
-            want = {d for (d, _), (_, _, c) in zip(rows, brute_near(rows)) if str(d) == c}
+            want = {d for (d, _), (_, _, c) in zip(rows, brute_near(rows, 80)) if str(d) == c}
         assert got == want and got, name
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
     check(rows, corpus_pipeline.run(spark, sf_dir).collect())
