@@ -49,7 +49,8 @@ def fake(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
     row = F.greatest(F.least(F.col("id"), F.lit(n - 2)), F.lit(0)).alias("row")
 
     def draw(column: str, size: int) -> Column:
-        return F.pmod(F.xxhash64("row", F.lit(column), F.lit(seed)), F.lit(size))
+        digits = F.substring(F.md5(F.concat_ws("|", "row", F.lit(column), F.lit(seed)).cast("binary")), 1, 15)
+        return F.conv(digits, 16, 10).cast("long") % size
 
     def pick(column: str, words: list[str]) -> Column:
         return F.element_at(F.array(*map(F.lit, words)), (draw(column, len(words)) + 1).cast("int"))
@@ -60,7 +61,7 @@ def fake(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
     first, last, city = pick("first_name", _FIRST), pick("last_name", _LAST), pick("city", _CITIES)
     day = lambda column, size, start: F.date_add(F.lit(start).cast("date"), draw(column, size).cast("int"))
     return spark.range(n).select(row).select(
-        F.sha2(F.concat_ws("-", "row", F.lit(seed)), 224).alias("id"),
+        F.substring(F.sha2(F.concat_ws("-", "row", F.lit(seed)), 256), 1, 56).alias("id"),
         gap("first_name", first),
         gap("last_name", last),
         gap("email", F.lower(F.concat(first, F.lit("."), last, draw("email", 1000).cast("string"), F.lit("@example.com")))),

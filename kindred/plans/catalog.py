@@ -304,12 +304,29 @@ _TOKEN_SET_SCORE = f"""(CASE WHEN common <> '' AND (x = '' OR y = '') THEN 100.0
   CASE WHEN common = '' THEN 0 ELSE 100.0 - 100.0 * (1 + length(x)) / (2 * length(common) + 1 + length(x)) END,
   CASE WHEN common = '' THEN 0 ELSE 100.0 - 100.0 * (1 + length(y)) / (2 * length(common) + 1 + length(y)) END) END)"""
 
+#: Partial ratios of the names, of their sorted words, and of the words that only one has; then what the weighted score takes.
+_SORTED_WORDS = "array_to_string(list_sort(list_filter(string_split({0}, ' '), lambda w: w <> '')), ' ')"
+_WEIGHTED = f"""
+z1 AS (SELECT s, t, x, y, {_TOKENS.format('x')} AS tx, {_TOKENS.format('y')} AS ty FROM z),
+z2 AS (SELECT s, t, x AS x0, y AS y0, array_to_string(list_sort(list_intersect(tx, ty)), ' ') AS common, {_REST.format('tx', 'ty')} AS x, {_REST.format('ty', 'tx')} AS y,
+       {_SORTED_WORDS.format('x')} AS sx, {_SORTED_WORDS.format('y')} AS sy FROM z1),
+zk AS (SELECT s, t, 0 AS kind, x0 AS x, y0 AS y FROM z2 UNION ALL SELECT s, t, 1, sx, sy FROM z2 UNION ALL SELECT s, t, 2, x, y FROM z2 WHERE x <> '' AND y <> ''),
+zp AS (SELECT s, t, kind, CASE WHEN length(x) <= length(y) THEN x ELSE y END AS x, CASE WHEN length(x) <= length(y) THEN y ELSE x END AS y FROM zk),
+zw AS (SELECT s, t, kind, x, substring(y, greatest(i, 0) + 1, i + length(x) - greatest(i, 0)) AS y FROM (SELECT s, t, kind, x, y, unnest(range(1 - length(x), length(y))) AS i FROM zp)
+       UNION ALL SELECT s, t, kind, y, substring(x, greatest(i, 0) + 1, i + length(x) - greatest(i, 0)) FROM (SELECT s, t, kind, x, y, unnest(range(1 - length(x), length(x))) AS i FROM zp WHERE length(x) = length(y))),
+zb AS (SELECT s, t, max(r) FILTER (kind = 0) AS p0, max(r) FILTER (kind = 1) AS p1, coalesce(max(r) FILTER (kind = 2), 0) AS p2
+       FROM (SELECT s, t, kind, {_ratio('x', 'y')} AS r FROM (SELECT DISTINCT s, t, kind, x, y FROM zw)) GROUP BY s, t),
+zz AS (SELECT z2.*, p0, CASE WHEN common <> '' THEN 100.0 ELSE greatest(p1, p2) END AS pt, greatest(length(x0), length(y0)) / least(length(x0), length(y0)) AS longer FROM z2 JOIN zb USING (s, t)),
+"""
+_WEIGHTED_SCORE = f"""(CASE WHEN longer < 1.5 THEN greatest({_ratio('x0', 'y0')}, 0.95 * {_ratio('sx', 'sy')}, 0.95 * {_TOKEN_SET_SCORE})
+  ELSE greatest({_ratio('x0', 'y0')}, (CASE WHEN longer < 8 THEN 0.9 ELSE 0.6 END) * p0, 0.95 * (CASE WHEN longer < 8 THEN 0.9 ELSE 0.6 END) * pt) END)"""
+
 for _name, _scorer, _threshold, _sql in [
     ("q21_fuzzy_simple", "simple_ratio", 0.8, _scored(_ratio("x", "y"), 0.8)),
     ("q22_fuzzy_token_sort", "token_sort_ratio", 0.8, _scored(_ratio("x", "y"), 0.8, _SORTED)),
     ("q23_fuzzy_partial", "partial_ratio", 0.85, _scored("best", 0.85, _WINDOWS)),
     ("q24_fuzzy_token_set", "token_set_ratio", 0.86, _scored(_TOKEN_SET_SCORE, 0.86, _TOKEN_SETS)),
-    ("q25_fuzzy_weighted", "weighted_ratio", 0.86, None),
+    ("q25_fuzzy_weighted", "weighted_ratio", 0.86, _scored(_WEIGHTED_SCORE, 0.86, _WEIGHTED)),
     ("q26_fuzzy_quick", "quick_ratio", 0.75, _scored(_ratio("x", "y"), 0.75)),
 ]:
     _f = _fuzzy(_scorer, _threshold)
@@ -387,17 +404,29 @@ for _name, _f, _sql in [
     ("q33b_preproc_alnum", _prepared(_p.lower(), _p.alnum()), _cleaned("regexp_replace(lower(text), '[^0-9A-Za-z]+', '', 'g')")),
     ("q33c_preproc_punctuation", _prepared(_p.remove_punctuation()), _cleaned(r"regexp_replace(text, '[^\w\s]+', '', 'g')")),
     ("q33d_preproc_stopwords", _prepared(_p.remove_stopwords()), _cleaned(rf"regexp_replace(text, '\b({_STOP})\b', '', 'g')")),
-    ("q33e_preproc_ascii_fold", _prepared(_p.ascii_fold(), _p.lower()), None),
+    ("q33e_preproc_ascii_fold", _prepared(_p.ascii_fold(), _p.lower()), _cleaned("lower(strip_accents(text))")),
     ("q33f_preproc_unicode", _prepared(_p.normalize_unicode("NFC")), _cleaned("nfc_normalize(text)")),
 ]:
     _f.__name__ = _name
     _query(_sql)(_f)
 
 
-@_query()
+#: Fixed values of the query: what cleaning must take away, before and after a name and after a company.
+_BEFORE, _AFTER, _LEGAL = ["", "Mr. ", "Dr ", "Prof. Dr. "], ["", " Jr.", ", PhD"], ["", " Ltd.", ", Inc.", " GmbH", " S.A.", " Co., LLC"]
+
+
+@_query("""
+WITH a AS (SELECT c_custkey, min(c_custkey) OVER (PARTITION BY c_custkey % 50, c_nationkey) AS c FROM customer)
+SELECT c_custkey, first_value(c) OVER (PARTITION BY c_custkey % 70 ORDER BY c_custkey) AS canonical_id FROM a
+""")
 def q33g_preproc_names(spark, d):
-    pipe = kd.pipeline().step(kd.col("p_name", preprocessors=_p.normalize_names()).exact()).step(kd.col("p_brand", preprocessors=_p.normalize_company()).exact())
-    return _pipe(table(spark, d, "part"), "p_partkey", pipe)
+    """Names with titles and suffixes, companies with legal forms, which must not tell rows apart."""
+    one = lambda words: F.element_at(F.array(*map(F.lit, words)), (F.pmod(F.xxhash64("c_custkey"), F.lit(len(words))) + 1).cast("int"))
+    number = lambda n: (F.col("c_custkey") % n).cast("string")
+    name = F.concat(one(_BEFORE), F.lit("Given"), number(50), F.lit(" Family"), F.col("c_nationkey").cast("string"), one(_AFTER))
+    people = table(spark, d, "customer").select("c_custkey", name.alias("name"), F.concat(F.lit("Firm "), number(70), one(_LEGAL)).alias("company"))
+    pipe = kd.pipeline().step(kd.col("name", preprocessors=_p.normalize_names()).exact()).step(kd.col("company", preprocessors=_p.normalize_company()).exact())
+    return _pipe(people, "c_custkey", pipe)
 
 
 # Results
@@ -459,7 +488,27 @@ def q38b_blocking_fuzzy(spark, d):
     return _canonical(table(spark, d, "customer"), "c_custkey", kd.fuzzy(0.9), "c_name", block_on="c_nationkey")
 
 
-@_query()
+def _people_sql() -> str:
+    """The generated people in SQL: draws are the first 60 bits of an MD5 of (row, column, seed)."""
+    from kindred import datasets as ds
+
+    draw = lambda column, size: f"(('0x' || substring(md5(row || '|{column}|0'), 1, 15))::BIGINT % {size})"
+    pick = lambda column, words: f"([{', '.join(repr(w) for w in words)}])[{draw(column, len(words))} + 1]"
+    first, last, city = pick("first_name", ds._FIRST), pick("last_name", ds._LAST), pick("city", ds._CITIES)
+    gaps = {
+        "first_name": first, "last_name": last, "email": f"lower({first} || '.' || {last} || {draw('email', 1000)} || '@example.com')",
+        "phone": f"'+1-555-' || lpad({draw('phone', 10_000_000)}::VARCHAR, 7, '0')",
+        "address": f"({draw('number', 300)} + 1) || ' ' || {pick('street', ds._STREETS)} || ' Street, ' || {city}", "city": city,
+        "country": pick("country", ds._COUNTRIES), "company": f"{pick('company', ds._LAST)} || ' ' || {pick('form', ds._FORMS)}", "job": pick("job", ds._JOBS),
+        "date_of_birth": f"DATE '1945-01-01' + {draw('date_of_birth', 20_000)}::INT", "signup_date": f"(DATE '2016-01-01' + {draw('signup_date', 3000)}::INT)::TIMESTAMP",
+        "salary": f"{draw('salary', 12_000_000)} / 100 + 20000",
+    }
+    columns = ", ".join(f"CASE WHEN {draw(f'{c} null', 100)} >= 2 THEN {x} END AS {c}" for c, x in gaps.items())
+    # The last row is a copy of the one before, and goes.
+    return f"SELECT left(sha256(row || '-0'), 56) AS id, {columns}, {draw('is_active', 2)} = 1 AS is_active FROM (SELECT row::VARCHAR AS row FROM range(999) AS range(row))"
+
+
+@_query(_people_sql())
 def q39_fake_people(spark, d):
     df = kd.datasets.fake_1K(spark)
     return kd.dedupe(df).apply({"id": kd.exact()}).drop_duplicates()
