@@ -9,6 +9,7 @@ text travels with its rows as a digest only.
 from __future__ import annotations
 
 import functools
+import math
 
 import numpy as np
 import pandas as pd
@@ -99,10 +100,11 @@ def _grouped(rows: DataFrame, values: DataFrame, roots: DataFrame, alone: Column
     return rooted.select("r.rid", "r.__block", "r.cid", F.when(F.col("f.alone"), F.col("r.rid")).otherwise(F.col("f.root")).alias("g"))
 
 
-def _tiled(values: DataFrame, function, size: Column | None = None, ratio: float = 0.0) -> DataFrame:
+def _tiled(values: DataFrame, function, size: Column | None = None, ratio: float = 0.0, gap: int | None = None) -> DataFrame:
     """Links (u, v) from function(left values, right values, same) on tiles of distinct values of one block.
 
-    With a size, only tiles meet whose sizes can satisfy min > ratio * max. Pairs never leave a task unless they match.
+    With a size (of a few thousand kinds at most), only tiles meet whose sizes can satisfy min > ratio * max, or that are `gap`
+    apart at most. Pairs never leave a task unless they match.
     """
     sized = values.select("__block", "node", "v", (size if size is not None else F.lit(0)).cast("int").alias("size"))
     counts = sized.groupBy("__block", "size").agg(F.count("*").alias("n"))
@@ -117,6 +119,8 @@ def _tiled(values: DataFrame, function, size: Column | None = None, ratio: float
     a, b = extent.alias("a"), extent.alias("b")
     order = F.struct("a.group", "a.part") <= F.struct("b.group", "b.part")
     fits = (F.col("b.high") > F.col("a.low") * ratio - 1e-6) & (F.col("a.high") > F.col("b.low") * ratio - 1e-6)
+    if gap is not None:
+        fits = (F.col("b.low") - F.col("a.high") <= gap) & (F.col("a.low") - F.col("b.high") <= gap)
     met = a.join(b, F.col("a.__block").eqNullSafe(F.col("b.__block")) & order & fits)
     met = met.select(F.col("a.__block").alias("block"), F.xxhash64("a.__block", "a.group", "a.part", "b.group", "b.part").alias("meet"), F.struct("a.group", "a.part").alias("x"), F.struct("b.group", "b.part").alias("y"))
     sides = met.select("block", "meet", F.explode(F.when(F.col("x") == F.col("y"), F.array(F.struct(F.lit(0).alias("side"), F.col("x").alias("at")))).otherwise(F.array(F.struct(F.lit(0).alias("side"), F.col("x").alias("at")), F.struct(F.lit(1).alias("side"), F.col("y").alias("at"))))).alias("s"))
@@ -176,9 +180,28 @@ def _cosine(keys, columns, schema, threshold):
         return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     zero = ~F.exists("v", lambda x: x != 0)
-    return _grouped(rows, values, close(_tiled(values.where(~zero), function)), zero)
+    angle, gap = _pivot(values.where(~zero), threshold)
+    return _grouped(rows, values, close(_tiled(values.where(~zero), function, angle, gap=gap)), zero)
 
 
+#: Steps of the half circle, and axes that are tried, for the angle by which cosine's tiles are cut.
+STEPS, AXES = 4096, 32
+
+
+def _pivot(values: DataFrame, threshold: float) -> tuple[Column, int]:
+    """The angle of each vector (v) to an axis in STEPS, and how far apart those of similar vectors can be.
+
+    By the triangle inequality of angles, two vectors less than acos(threshold) apart differ by less than that in their angle to
+    any axis. Of the first AXES axes the one with the widest spread of angles is taken.
+    """
+    most = F.array_max(F.transform("v", F.abs))
+    scaled = F.transform("v", lambda x: x / most)
+    norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda t, x: t + x * x))
+    to = lambda i: F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(F.get(scaled, F.lit(i)), F.lit(0.0)) / norm)))
+    spread = values.agg(*[F.stddev_pop(to(i)).alias(str(i)) for i in range(AXES)]).first()
+    best = max(range(AXES), key=lambda i: spread[i] or 0.0)
+    return F.floor(to(best) / math.pi * STEPS), math.ceil(math.acos(max(-1.0, min(1.0, threshold))) / math.pi * STEPS) + 2
+
 def _token(c: Column, kind: T.DataType) -> Column:
     """A value as text that tells kinds apart; equal numbers and booleans are equal whatever their type."""
     if isinstance(kind, T.BooleanType):
@@ -200,10 +223,13 @@ def _jaccard(keys, columns, schema, threshold):
     posts = posts.join(often.alias("o"), F.col("p.__block").eqNullSafe(F.col("o.__block")) & (F.col("p.token") == F.col("o.token"))).select("p.*", "o.count")
     rank = F.row_number().over(Window.partitionBy("node").orderBy("count", "token"))
     # Two sets above the threshold share one of their size - floor(threshold * size) rarest values.
-    prefix = posts.withColumn("rank", rank).where(F.col("rank") <= F.col("size") - F.floor(F.col("size") * threshold - 1e-9)).select("__block", "node", "token")
+    prefix = posts.withColumn("rank", rank).where(F.col("rank") <= F.col("size") - F.floor(F.col("size") * threshold - 1e-9)).select("__block", "node", "token", "size", "rank")
     prefix = materialize(prefix, "prefix")
     a, b = prefix.alias("a"), prefix.alias("b")
-    pairs = a.join(b, F.col("a.__block").eqNullSafe(F.col("b.__block")) & (F.col("a.token") == F.col("b.token")) & (F.col("a.node") < F.col("b.node"))).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
+    # At the first value in common (by rarity) they can have no more than the rest of the shorter remainder in common.
+    enough = threshold / (1 + threshold) * (F.col("a.size") + F.col("b.size")) - 1e-9
+    fits = (1 + F.least(F.col("a.size") - F.col("a.rank"), F.col("b.size") - F.col("b.rank")) >= enough) & (F.least("a.size", "b.size") >= threshold * F.greatest("a.size", "b.size") - 1e-9)
+    pairs = a.join(b, F.col("a.__block").eqNullSafe(F.col("b.__block")) & (F.col("a.token") == F.col("b.token")) & (F.col("a.node") < F.col("b.node")) & fits).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
     sets = values.select("node", F.col("v").alias("set"))
     met = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("y")), "v")
     both = F.size(F.array_intersect("x", "y"))
@@ -243,16 +269,30 @@ def _tfidf(keys, value, threshold, ngram, topn, **weighting):
     idf = grams.groupBy("__block", "gram").agg(F.sum("n").alias("df")).alias("i").join(totals.alias("t"), F.col("i.__block").eqNullSafe(F.col("t.__block")))
     more = 1 if w["smooth_idf"] else 0
     weight = F.log((more + F.col("total")) / (more + F.col("df"))) + 1 if w["use_idf"] else F.lit(1.0)
-    idf = idf.select("i.__block", "i.gram", weight.alias("idf"))
+    idf = idf.select("i.__block", "i.gram", "df", weight.alias("idf"))
     tf = F.lit(1) if w["binary"] else F.col("tf")
     tf = F.log(tf) + 1 if w["sublinear_tf"] else tf
     g, i = grams.alias("g"), idf.alias("i")
-    weighted = g.join(i, F.col("g.__block").eqNullSafe(F.col("i.__block")) & (F.col("g.gram") == F.col("i.gram"))).select("g.__block", "g.node", "g.gram", (tf * F.col("idf")).alias("w"))
+    weighted = g.join(i, F.col("g.__block").eqNullSafe(F.col("i.__block")) & (F.col("g.gram") == F.col("i.gram"))).select("g.__block", "g.node", "g.gram", "i.df", (tf * F.col("idf")).alias("w"))
     norms = weighted.groupBy("node").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    unit = materialize(weighted.join(norms, "node").select("__block", "node", "gram", (F.col("w") / F.col("norm")).alias("w")), "weights")
-    a, b = unit.alias("a"), unit.alias("b")
-    met = a.join(b, F.col("a.__block").eqNullSafe(F.col("b.__block")) & (F.col("a.gram") == F.col("b.gram")))
-    scores = met.groupBy(F.col("a.node").alias("u"), F.col("b.node").alias("v")).agg(F.round(F.sum(F.col("a.w") * F.col("b.w")), 9).alias("score")).where(F.col("score") > threshold)
+    unit = materialize(weighted.join(norms, "node").select("__block", "node", "gram", "df", (F.col("w") / F.col("norm")).alias("w")), "weights")
+    # Rare n-grams first: where what is left of a vector has a norm below the threshold, it can't make a pair alone. With one order for
+    # all, two vectors above the threshold share an n-gram that comes before that point in both.
+    rest = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("node").orderBy("df", "gram").rowsBetween(0, Window.unboundedFollowing)))
+    heads = materialize(unit.withColumn("rest", rest).where(F.col("rest") >= threshold - 1e-8).select("__block", "node", "gram"), "heads")
+    a, b = heads.alias("a"), heads.alias("b")
+    met = a.join(b, F.col("a.__block").eqNullSafe(F.col("b.__block")) & (F.col("a.gram") == F.col("b.gram")) & (F.col("a.node") < F.col("b.node")))
+    met = met.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
+    vectors = unit.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("gram", "w"))).alias("x"))  # a value's own n-grams
+    vectors = materialize(vectors, "vectors")
+    side = lambda end: vectors.select(F.col("node").alias(end), F.col("x").alias(f"x_{end}"))
+    both = met.join(side("u"), "u").join(side("v"), "v")
+    products = F.map_values(F.map_zip_with("x_u", "x_v", lambda k, x, y: F.coalesce(x * y, F.lit(0.0))))
+    once = both.select("u", "v", F.round(F.aggregate(products, F.lit(0.0), lambda t, x: t + x), 9).alias("score")).where(F.col("score") > threshold)
+    once = materialize(once, "scores")
+    scores = once.unionByName(once.select(F.col("v").alias("u"), F.col("u").alias("v"), "score"))
+    if threshold < 1:
+        scores = scores.unionByName(vectors.select(F.col("node").alias("u"), F.col("node").alias("v"), F.lit(1.0).alias("score")))
     # A row's slots go to the best rows; rows of one value have the same score, so a value takes as many as it has rows.
     counted = scores.join(values.select(F.col("node").alias("v"), "n"), "v")
     own = Window.partitionBy("u").orderBy(F.desc("score"), "v").rowsBetween(Window.unboundedPreceding, -1)
