@@ -334,7 +334,7 @@ def learn_lexicons(sample: DataFrame) -> list[Lexicon]:
     sums = []
     for h in range(3):
         body = F.col(f"body{h}")
-        sums += [F.count_if(bad & body.isNotNull()).alias(f"a{h}"), F.count_if(~bad & body.isNotNull()).alias(f"b{h}"), F.count_distinct(F.when(bad, body)).alias(f"texts{h}")]
+        sums += [F.count_if(bad & body.isNotNull()).alias(f"a{h}"), F.count_if(~bad & body.isNotNull()).alias(f"b{h}"), F.size(F.collect_set(F.when(bad, body))).alias(f"texts{h}")]  # SAMPLE bodies at most, about
         sums += [F.count_if(bad & body.isNotNull() & (F.col("aimed") == 1)).alias(f"aimed{h}")]
     counts = materialize(once.groupBy("word").agg(*sums), "words")
     return [_lexicon(counts.select("word", *[F.col(f"{c}{h}").alias(c) for c in ("a", "b", "texts", "aimed")]), sample if h == 2 else None) for h in range(3)]
