@@ -282,3 +282,103 @@ def test_forward_probabilities_sum_to_one(spark, small):
     m = language_model.Markov(norm(rng.random(4)), norm(rng.random((4, 4))), norm(rng.random((4, 6))))
     one = [np.array([i, j], np.uint16) for i in range(6) for j in range(6)]
     assert (10 ** m.log10(one)).sum() == pytest.approx(1)
+
+
+def test_language_against_plain_sets(spark, sf_dir):
+    """Rates, sets and coverages of the smallest table by counting strings; the Bloom filter's corrected popcounts come close to them."""
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text").collect()]
+
+    def grams(text):
+        letters = " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
+        plain = f" {letters} " if letters else " "
+        return [plain[i : i + n] for n in language_id.ORDERS for i in range(len(plain) - n + 1)]
+
+    counts: dict = {}
+    for i, lang, text in rows:
+        if crc(i) % 4 != 2:
+            counts.setdefault(lang, Counter()).update(grams(text))
+    rate = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in counts.items()}
+    most: dict = {}
+    for r in rate.values():
+        for g, x in r.items():
+            most[g] = max(x, most.get(g, 0))
+    known = {lang: {g for g, x in r.items() if x >= language_id.RATE and x >= language_id.SHARE * most[g]} for lang, r in rate.items()}
+    out = {r["doc_id"]: r for r in language_id.language_id(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()}
+    assert len(out) == len(rows)
+    for i, _, text in rows:
+        gs = grams(text)
+        cover = {lang: sum(g in own for g in gs) / max(1, len(gs)) for lang, own in known.items()}
+        best, second = sorted(cover.values(), reverse=True)[:2]
+        if any(c.isalpha() for c in text):
+            assert out[i]["coverage"] == pytest.approx(best, abs=0.03)
+            if best - second > 0.06:
+                assert cover[out[i]["lang_pred"]] == best
+                assert out[i]["score"] == pytest.approx(best / (best + second), abs=0.05)
+        else:
+            assert (out[i]["lang_pred"], out[i]["score"]) == ("und", 0)
+
+
+def test_quality_against_plain_loops(spark, sf_dir, monkeypatch):
+    """Features by loops over characters and words, and the learned tables looked up one by one."""
+    from bisect import bisect_right
+
+    made, real = [], quality_classifier.train
+    monkeypatch.setattr(quality_classifier, "train", lambda *a: made.append(real(*a)) or made[-1])
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id % 3 = 0")
+    out = {r["doc_id"]: r["score"] for r in quality_classifier.quality_classifier(docs, spark.read.parquet("/root/testdata/sf0.01/labels.parquet")).collect()}
+    (model,) = made
+    assert model.pairs and len(out) > 300
+
+    def plain(text):
+        ws, size = text.split(), len(text.encode())
+        if not ws:
+            return [0.0] * len(quality_classifier.FEATURES)
+        share = lambda chars: sum(c in chars for c in text) / size
+        lines, triples = [x for x in text.split("\n") if x.strip()], [tuple(ws[i : i + 3]) for i in range(len(ws) - 2)]
+        return [
+            math.log(1 + len(ws)), sum(len(w) for w in ws) / len(ws), math.log(1 + max(len(w) for w in ws)), len(set(ws)) / len(ws), Counter(ws).most_common(1)[0][1] / len(ws),
+            1 - len(set(triples)) / len(triples) if triples else 0.0, 1 - len(set(lines)) / len(lines), len(lines) / len(ws),
+            share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), share("0123456789"), share("#*$%&<>@^~=_{}[]\\/"), share("|"), share("!"), share(","), share("."),
+            sum(len(w) <= 3 for w in ws) / len(ws), 1 - len(text) / size, sum(not w[-1].isalnum() and w[-1] not in ".,;:?" for w in ws) / len(ws),
+        ]
+
+    for r in docs.select("doc_id", "text").collect():
+        x = plain(r["text"])
+        assert x == pytest.approx(quality_classifier.features(r["text"]), abs=1e-12)
+        z = model.base + sum(t[bisect_right(list(e), v)] for e, t, v in zip(model.edges, model.tables, quality_classifier.features(r["text"])))
+        z += sum(t[bisect_right(list(model.coarse[i]), x[i])][bisect_right(list(model.coarse[j]), x[j])] for i, j, t in model.pairs)
+        assert out[r["doc_id"]] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))), abs=1e-6)
+
+
+def test_language_model_score_by_plain_recursion(spark, small, monkeypatch):
+    """The score of whole texts from counted words and the fitted model, one token and one state at a time."""
+    fitted, real = [], language_model.baum_welch
+    monkeypatch.setattr(language_model, "baum_welch", lambda *a: fitted.append(real(*a)) or fitted[-1])
+    rows, classes = small[:80], 30
+    out = {r["doc_id"]: r["score"] for r in language_model.lm_score(make_docs(spark, rows), table=50, classes=classes).collect()}
+    m = fitted[-1]
+    tok = lambda t: [*[w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(FOLD))], b""]
+    c = Counter(w for i, t, _ in rows if crc(i) % 10 for w in tok(t))
+    own = {w: k for k, (w, _) in enumerate(sorted(c.items(), key=lambda x: (-x[1], x[0]))[:classes])}
+    total, kinds = Counter(), Counter()
+    for w, n in c.items():
+        if w not in own:
+            total[language_model.suffix_class(w)] += n
+            kinds[language_model.suffix_class(w)] += 1
+    # Words of one count are cut off together where the table of frequent words ends.
+    own = {w: k for w, k in own.items() if c[w] > sorted(c.values(), reverse=True)[60]}
+    if len(own) < classes:
+        raise AssertionError("the table ends within the classes")
+    for i, t, _ in rows:
+        alpha, score = None, 0.0
+        for w in tok(t):
+            s = language_model.suffix_class(w)
+            k = own[w] if w in own else classes + s
+            if w not in own:
+                score += math.log10((c[w] + 0.1) / (total[s] + 0.1 * (kinds[s] + 1)))
+            states = range(len(m.start))
+            alpha = [(m.start[b] if alpha is None else sum(alpha[a] * m.move[a][b] for a in states)) * m.emit[b][k] for b in states]
+            z = sum(alpha)
+            score += math.log10(z)
+            alpha = [a / z for a in alpha]
+        assert out[i] == pytest.approx(score, rel=1e-6)
