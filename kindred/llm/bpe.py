@@ -38,6 +38,21 @@ _BETWEEN = r"'(?:s|t|re|ve|m|ll|d)|\p{N}|[^\p{L}\p{N}\s]+"
 _SPECIAL = re.compile("[^\t-\r -~¡-įı-˿]")
 
 
+#: What a vocabulary file must state, as normalising, splitting and decoding are built for it here.
+_KNOWN = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "decoder": None,
+    "post_processor": None,
+}
+
+
 def vocabulary_path() -> str:
     import public_tokenizers
 
@@ -72,7 +87,12 @@ class Encoder:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        for part, known in _KNOWN.items():
+            if spec.get(part) != known:
+                raise ValueError(f"{path}: the encoder is built for another {part}")
         model = spec["model"]
+        if model.get("type") != "BPE" or model.get("end_of_word_suffix") != END or model.get("byte_fallback") or model.get("dropout") or model.get("ignore_merges"):
+            raise ValueError(f"{path}: the encoder is built for a byte-pair model with {END} at the end of words")
         self.vocab: dict[str, int] = model["vocab"]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.tokens = {i: t for t, i in (self.vocab | self.special).items()}

@@ -50,3 +50,17 @@ def test_ids_and_back(odd, odd_rows, library):
 
 def test_empty_table(empty):
     assert bpe_digests(empty).collect() == []
+
+
+@pytest.mark.parametrize("part", ["normalizer", "pre_tokenizer", "decoder", "model"])
+def test_other_vocabulary_files_are_refused(tmp_path, part):
+    import json
+
+    from kindred.llm import bpe
+
+    with open(bpe.vocabulary_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    spec[part] = spec["model"] | {"end_of_word_suffix": None} if part == "model" else {"type": "Other"}
+    (tmp_path / "other.json").write_text(json.dumps(spec), encoding="utf-8")
+    with pytest.raises(ValueError):
+        bpe.Encoder(str(tmp_path / "other.json"))
