@@ -12,6 +12,7 @@ from kindred.dsl import Col, Pipeline
 from kindred.operators.rules import REGISTRY, InvalidRuleError, Rule, exact
 from kindred.operators.steps import Unit, changes, columns_of, run_steps
 from kindred.plans.rowid import dense, numbered
+from kindred.plans.storage import importable
 
 #: Name of the column of canonical ids.
 CANONICAL_ID = os.environ.get("CANONICAL_ID", "canonical_id")
@@ -106,6 +107,7 @@ class Dedupe:
     def _start(self, steps, id: str | None) -> tuple[DataFrame, DataFrame, bool]:
         """The table with _RID and canonical id, the narrow state of the rules, and whether ids are unique."""
         df, cid = self._df, self._cid
+        importable(df.sparkSession)
         named = {c for units in steps for c in columns_of(units)} | {c for c in (*self._block, id) if isinstance(c, str)}
         if missing := sorted(c for c in named if c not in df.columns):
             raise ValueError(f"no such column: {', '.join(missing)}; there are {', '.join(df.columns)}")

@@ -79,17 +79,22 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package (a cluster installs it or gets --py-files), and keep their batches small.
-
-    Batches of long texts are held several times over, in the JVM and in Python: this session's Arrow batches have 2,000
-    rows from now on, where the setting has Spark's default; a setting of the user's own stays.
-    """
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it (a cluster installs it or gets --py-files)."""
     here = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     known = env.get("PYTHONPATH", "")
     if here not in known.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (here, known) if x)
+
+
+def prepare(spark: SparkSession) -> None:
+    """Let Python workers import this package, and keep their batches small.
+
+    Batches of long texts are held several times over, in the JVM and in Python: this session's Arrow batches have 2,000
+    rows from now on, where the setting has Spark's default; a setting of the user's own stays.
+    """
+    importable(spark)
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(rows) == "10000":
         spark.conf.set(rows, "2000")
