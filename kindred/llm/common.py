@@ -73,10 +73,10 @@ def table_of(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.range(1, numPartitions=1).select(F.inline(F.array(*lits)))
 
 
-def slices(b, column: int, chars: int = 1 << 20):
-    """Slices of a record batch whose texts (in that column) have about `chars` bytes at most, or one row."""
+def slices(b, column: int, chars: int = 1 << 20, rows: int = 512):
+    """Slices of a record batch, of `rows` rows at most, whose texts (in that column) have about `chars` bytes at most, or one row."""
     each = b.column(column).nbytes // max(1, b.num_rows)
-    step = max(1, min(512, chars // max(1, each)))
+    step = max(1, min(rows, chars // max(1, each)))
     for i in range(0, b.num_rows, step):
         yield b.slice(i, step)
 

@@ -1,15 +1,16 @@
 """Language-model scoring with a hidden Markov model.
 
-Latent states emit word classes, and a class emits the word. The CLASSES most frequent words are classes of their own, all
-other words share SUFFIXES classes by a hash of their last three bytes; within a class a word has the smoothed share of its training
-count. Baum-Welch counts (starts, transitions, emissions) are summed over all partitions of the training rows in
-each round; before, a bounded sample of SEED documents sets the states apart. A text's score is its exact log10 probability: the
-scaled forward recursion over the whole sequence of classes, plus the words' shares of their classes.
-
-Scale: the corpus is tokenised twice, to count words and to write each document's classes (two bytes a token). Counts are summed per task
-before the shuffle. The TABLE most frequent words are looked up in the task; all others, whose counts are as many as the
-corpus has words, are joined with the table of counts as (row, word) pairs. Baum-Welch reads only the classes; what a
-round sends is a bounded number of sums per task, added up by an aggregation.
+Latent states emit word classes, and a class emits its words, each state with shares of its own. The CLASSES most frequent
+words are classes of their own, all other words share SUFFIXES classes by a hash of their last three bytes. The states are set
+apart by the words that stand around each class in all training rows. Baum-Welch counts (starts, transitions, emissions) are
+summed over all partitions of the training rows in each round, over whole sequences; a last round counts the emissions of
+every single word, a table that grows with the vocabulary. A text's score is its exact log10 probability: the scaled
+forward recursion over its words.
+
+Scale: the corpus is tokenised twice, to count words and to write each document's classes and word numbers. Counts are
+summed per task before the shuffle. The TABLE most frequent words are looked up in the task; all others, whose counts are
+as many as the corpus has words, are joined as (row, word) pairs. What a round over classes sends is a bounded number
+of sums per task, added up by an aggregation.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,8 +27,13 @@ from pyspark.sql import functions as F
 from kindred.llm.common import documents, id_crc, materialize, prepare, slices
 
 STATES, CLASSES, SUFFIXES, TABLE = 8, 4096, 2048, 100_000
-SEED, SEED_ROUNDS, ROUNDS = 2000, 12, 2
-SEGMENT, PRIOR = 128, 200.0
+ROUNDS, PRIOR = 2, 200.0
+#: Sequences and tokens that are smoothed at once; a longer sequence in windows of so many tokens.
+WIDTH, TOKENS = 4096, 1 << 19
+#: Words to each side that make a class's surroundings, and the numbers that stand for them.
+AROUND, SKETCH = 8, 24
+#: Weight of what all states have in common in a word's share of its class; steps to one in its counts by state.
+TIED, FINE = 0.2, 256
 END = b""
 ADD = 0.1
 
@@ -91,15 +98,16 @@ class Vocabulary:
         c = np.zeros(table + SUFFIXES)
         c[: len(top)] = [x for _, x in top]
         self.known = c > 0
-        self.code = np.zeros(table + SUFFIXES, np.uint16)
+        self.code = np.full(table + SUFFIXES, classes, np.uint16)
         self.code[table:] = classes + np.arange(SUFFIXES)
         for i, (w, _) in enumerate(top):
             self.code[i] = i if i < classes else classes + suffix_class(w)
         log_c = np.where(self.known, np.log10(c + ADD), 0.0)  # of rare words it comes from the join
-        share = np.log10(suffix_n + ADD * (suffix_v + 1))
+        self.suffix_total = suffix_n + ADD * (suffix_v + 1)
         self.base = log_c - np.log10(n + ADD * (v + 1)) if n else log_c
-        own = np.arange(table + SUFFIXES) < min(classes, len(top))
-        self.within = np.where(own, 0.0, log_c - share[np.maximum(self.code.astype(int) - classes, 0)])
+        #: A word's share of its class, of those with several words.
+        self.share = (c[:table] + ADD) / self.suffix_total[np.maximum(self.code[:table].astype(int) - classes, 0)]
+        self.single = np.arange(table) < min(classes, len(top))
         self.class_counts = np.bincount(self.code, c, minlength=classes + SUFFIXES)
         self.class_counts[classes:] = suffix_n
 
@@ -137,49 +145,75 @@ class Markov:
         self.start, self.move, self.emit = start, move, emit
         self.by_class = np.ascontiguousarray(emit.T)
 
-    def expected(self, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-        """Baum-Welch counts of sequences, in segments of SEGMENT classes; and their log likelihood."""
-        k = len(self.start)
-        starts, moves, emits, total = np.zeros(k), np.zeros((k, k)), np.zeros_like(self.emit), 0.0
-        parts = [(s[i : i + SEGMENT], i == 0) for s in sequences for i in range(0, len(s), SEGMENT)]
-        parts.sort(key=lambda p: -len(p[0]))
-        for at in range(0, len(parts), 1024):
-            own = parts[at : at + 1024]
-            lengths = np.array([len(p[0]) for p in own])
-            steps, n = int(lengths[0]), len(own)
-            codes = np.zeros((steps, n), np.int64)
-            for j, (p, _) in enumerate(own):
-                codes[: len(p), j] = p
-            live = [int((lengths > t).sum()) for t in range(steps)]  # the first ones, as they are sorted
-            first = np.array([p[1] for p in own])
-            alpha = np.zeros((steps, n, k), np.float64)
-            scale = np.ones((steps, n))
-            begin = np.where(first[:, None], self.start, 1.0 / k)
-            for t in range(steps):
-                m = live[t]
-                a = (begin if t == 0 else alpha[t - 1, :m] @ self.move) * self.by_class[codes[t, :m]]
-                scale[t, :m] = a.sum(axis=1)
-                alpha[t, :m] = a / scale[t, :m, None]
-            total += float(np.log(scale).sum())
-            beta, held = np.ones((n, k)), []
-            for t in range(steps - 1, -1, -1):
-                m = live[t]
-                gamma = alpha[t, :m] * beta[:m]
-                gamma /= gamma.sum(axis=1, keepdims=True)
-                held.append((codes[t, :m], gamma))
-                if t == 0:
-                    starts += gamma[first].sum(axis=0)
-                if t:
-                    ahead = self.by_class[codes[t, :m]] * beta[:m] / scale[t, :m, None]
-                    moves += self.move * (alpha[t - 1, :m].T @ ahead)
-                    beta[:m] = ahead @ self.move.T
-            where, gammas = (np.concatenate(x) for x in zip(*held))
+    def posteriors(self, sequences: list[np.ndarray], starts: np.ndarray, moves: np.ndarray):
+        """(places in the concatenated sequences, probabilities of the states there), each place once; adds to starts and moves.
+
+        Forward and backward over whole sequences. Where one has more than TOKENS tokens, only the forward vectors at the
+        borders of windows are kept, and a window's vectors are made again when the backward pass comes to it.
+        """
+        lengths = np.array([len(s) for s in sequences])
+        flat, offset = np.concatenate(sequences), np.cumsum(lengths) - lengths
+        order = np.argsort(-lengths, kind="stable")
+        order = order[lengths[order] > 0]
+        batch = np.maximum(np.arange(len(order)) // WIDTH, (np.cumsum(lengths[order]) - 1) // TOKENS)
+        for own in np.split(order, np.flatnonzero(np.diff(batch)) + 1) if len(order) else []:
+            size, off = lengths[own], offset[own]
+            live = np.searchsorted(-size, -np.arange(size[0]), side="left")  # the first ones, as they are sorted
+            window = (np.cumsum(live) - 1) // TOKENS
+            edges = [0, *(np.flatnonzero(np.diff(window)) + 1).tolist(), len(live)]
+            enter = [None]
+            for a, b in zip(edges[:-2], edges[1:-1]):
+                enter.append(self._forward(flat, off, live, a, b, enter[-1])[1][-live[b - 1] :].copy())
+            beta = np.ones((len(own), len(self.start)))
+            for a, b, before in reversed(list(zip(edges, edges[1:], enter))):
+                at, alpha, scale = self._forward(flat, off, live, a, b, before)
+                ends = np.cumsum(live[a:b])
+                for t in range(b - 1, a - 1, -1):
+                    m, end = live[t], ends[t - a]
+                    here = slice(end - m, end)
+                    gamma = alpha[here] * beta[:m]
+                    gamma /= gamma.sum(axis=1, keepdims=True)
+                    if t == 0:
+                        starts += gamma.sum(axis=0)
+                    else:
+                        last = before if t == a else alpha[end - m - live[t - 1] : end - m]
+                        ahead = self.by_class[flat[at[here]]] * beta[:m] / scale[here, None]
+                        moves += self.move * (last[:m].T @ ahead)
+                        beta[:m] = ahead @ self.move.T
+                    alpha[here] = gamma
+                yield at, alpha
+
+    def _forward(self, flat, off, live, a: int, b: int, before):
+        """Places, scaled forward vectors and scales of the steps a to b of sequences, after the vectors `before`."""
+        n = int(live[a:b].sum())
+        at, alpha, scale, end = np.empty(n, np.int64), np.empty((n, len(self.start))), np.empty(n), 0
+        for t in range(a, b):
+            m = live[t]
+            here = slice(end, end + m)
+            at[here] = off[:m] + t
+            x = self.by_class[flat[at[here]]] * (self.start if t == 0 else before[:m] @ self.move)
+            scale[here] = x.sum(axis=1)
+            before = alpha[here] = x / scale[here, None]
+            end += m
+        return at, alpha, scale
+
+    def expected(self, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Baum-Welch counts of whole sequences: starts, moves, emissions."""
+        k, c = self.emit.shape
+        starts, moves, emits = np.zeros(k), np.zeros((k, k)), np.zeros((k, c))
+        flat = np.concatenate(sequences)
+        for at, gamma in self.posteriors(sequences, starts, moves):
+            codes = flat[at]
             for s in range(k):
-                emits[s] += np.bincount(where, gammas[:, s], minlength=emits.shape[1])
-        return starts, moves, emits, total
+                emits[s] += np.bincount(codes, gamma[:, s], minlength=c)
+        return starts, moves, emits
 
-    def log10(self, sequences: list[np.ndarray]) -> np.ndarray:
-        """Exact log10 probability of each whole sequence, by the scaled forward recursion."""
+    def log10(self, sequences: list[np.ndarray], emissions: np.ndarray | None = None) -> np.ndarray:
+        """Exact log10 probability of each whole sequence, by the scaled forward recursion.
+
+        A sequence holds classes, or rows of `emissions` (probabilities by state) if given.
+        """
+        emissions = self.by_class if emissions is None else emissions
         out = np.zeros(len(sequences))
         order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
         for at in range(0, len(order), 1024):
@@ -192,7 +226,7 @@ class Markov:
             total, alpha = np.zeros(len(own)), None
             for t in range(int(lengths[0])):
                 m = int(np.searchsorted(ends, -t, side="left"))
-                here = self.by_class[flat[offset[:m] + t]]
+                here = emissions[flat[offset[:m] + t]]
                 a = here * self.start if t == 0 else (alpha[:m] @ self.move) * here
                 scale = a.sum(axis=1)
                 total[:m] += np.log10(scale)
@@ -207,56 +241,101 @@ def maximise(starts, moves, emits, prior: np.ndarray) -> Markov:
     return Markov((starts + 1) / (starts + 1).sum(), (moves + 1) / (moves + 1).sum(axis=1, keepdims=True), emit / emit.sum(axis=1, keepdims=True))
 
 
-def seed(sequences: list[np.ndarray], prior: np.ndarray, states: int = STATES) -> Markov:
-    """States set apart on a bounded sample: each starts from the sequence that the others explain worst."""
-    k = len(prior)
-    start, move = np.full(states, 1 / states), np.full((states, states), 0.1 / max(1, states - 1))
+def _surroundings(shared, classes: int):
+    """Sums, by class, of the sketches of the AROUND tokens to each side; whole numbers, so their order doesn't matter."""
+
+    def run(batches):
+        sketch = shared.value
+        sums = np.zeros((classes, SKETCH))
+        for batch in _gathered(batches):
+            pad = np.full(AROUND, classes, np.int64)  # no token
+            flat = np.concatenate([pad, *[x for (codes,) in batch for x in (codes, pad)]])
+            step = TOKENS // 8
+            for i in range(0, len(flat), step):
+                low, high = max(0, i - AROUND), min(len(flat), i + step + AROUND)
+                part = flat[low:high]
+                whole = np.concatenate([np.zeros((1, SKETCH), np.int32), np.cumsum(sketch[part], axis=0, dtype=np.int32)])
+                own = np.arange(i, min(len(flat), i + step)) - low
+                own = own[part[own] < classes]
+                around = whole[np.minimum(own + AROUND + 1, len(part))] - whole[np.maximum(own - AROUND, 0)] - sketch[part[own]]
+                for j in range(SKETCH):
+                    sums[:, j] += np.bincount(part[own], around[:, j], minlength=classes)
+        cells = np.flatnonzero(sums.ravel())
+        yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(sums.ravel()[cells])], ["cell", "value"])
+
+    return run
+
+
+def _gathered(batches):
+    """Lists of rows of arrays, of TOKENS tokens or a row more, from batches with binary columns of 16-bit and then 32-bit numbers."""
+    rows, held = [], 0
+    for b in batches:
+        columns = [[np.frombuffer(x, kind) for x in b.column(i).to_pylist()] for i, kind in zip(range(b.num_columns), (np.uint16, np.int32))]
+        for row in zip(*columns):
+            rows.append(row)
+            held += len(row[0])
+            if held >= TOKENS:
+                yield rows
+                rows, held = [], 0
+    if rows:
+        yield rows
+
+
+def set_apart(sums: np.ndarray, counts: np.ndarray, prior: np.ndarray, states: int = STATES) -> Markov:
+    """A first model: classes with like surroundings (k-means over directions) are likelier in the same state."""
+    x = sums / np.maximum(counts, 1)[:, None]
+    x = x - counts @ x / max(1.0, counts.sum())
+    x /= np.maximum(np.sqrt((x**2).sum(axis=1, keepdims=True)), 1e-9)
+    weight = np.where(counts >= 20, np.sqrt(counts), 0.0)
+    heavy = np.argsort(-weight, kind="stable")[:300]
+    centre = x[heavy[:1]]
+    while len(centre) < states:
+        centre = np.vstack([centre, x[heavy[(x[heavy] @ centre.T).max(axis=1).argmin()]]])
+    for _ in range(30):
+        near = (x @ centre.T).argmax(axis=1)
+        for s in range(states):
+            mean = weight[near == s] @ x[near == s]
+            if (mean**2).sum() > 0:
+                centre[s] = mean / np.sqrt((mean**2).sum())
+    emit = np.array([np.where(near == s, prior, 0) for s in range(states)]) + 1e-12 * prior
+    move = np.full((states, states), 0.1 / max(1, states - 1))
     np.fill_diagonal(move, 0.9)
-    long = [s for s in sequences if len(s) >= 40] or sequences
-    if not long:
-        return maximise(np.zeros(states), move * 100, np.zeros((states, k)), prior)
-    profile = np.array([np.bincount(s, minlength=k) / len(s) for s in long], np.float32)
-    chosen, best = [], profile @ np.log(prior)
-    for _ in range(states):
-        gain = np.array([p[at] @ np.log(0.5 * p[at] + 0.5 * prior[at]) for p, at in ((p, np.flatnonzero(p)) for p in profile)]) - best
-        i = int(gain.argmax())
-        chosen.append(profile[i])
-        best = np.maximum(best, profile @ np.log(0.7 * profile[i] + 0.3 * prior))
-    model = Markov(start, move, np.array([0.5 * p + 0.5 * prior for p in chosen]))
-    for _ in range(SEED_ROUNDS):
-        model = maximise(*model.expected(sequences)[:3], prior)
-    return model
+    return Markov(np.full(states, 1 / states), move, 0.7 * emit / emit.sum(axis=1, keepdims=True) + 0.3 * prior)
 
 
 def _encode(shared):
     def run(batches):
         v = shared.value
-        ranks, code, base, within, known = v.ranks, v.code, v.base, v.within, v.known
+        ranks, code, base, known = v.ranks, v.code, v.base, v.known
         for b in batches:
             for s in slices(b, 3):
                 cols: list[list] = [[] for _ in range(7)]
                 for t in s.column(3).cast(pa.large_binary()).to_pylist():
                     words = tokens(t or b"")
                     at = np.fromiter([ranks[w] for w in words], np.int64, len(words))
-                    rare = Counter([words[i] for i in np.flatnonzero(at >= v.table)])
-                    for c, x in zip(cols, (len(words), int(known[at].sum()), float(base[at].sum()), float(within[at].sum()), code[at].tobytes(), list(rare.keys()), list(rare.values()))):
+                    rare: dict[bytes, int] = {}
+                    numbers = at.astype(np.int32)
+                    unlisted = np.flatnonzero(at >= v.table)
+                    numbers[unlisted] = [v.table + rare.setdefault(words[i], len(rare)) for i in unlisted]
+                    times = np.bincount(numbers[unlisted] - v.table, minlength=len(rare)).tolist()
+                    own = code[at]
+                    for c, x in zip(cols, (len(words), int(known[at].sum()), float(base[at].sum()), own.tobytes(), numbers[own >= v.classes].tobytes(), list(rare), times)):
                         c.append(x)
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()))
+                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([s.column(0), s.column(1), s.column(2), *[pa.array(c, k) for c, k in zip(cols, kinds)]], _ENCODED)
 
     return run
 
 
-_ENCODED = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "within", "codes", "rare", "times"]
+_ENCODED = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "codes", "numbers", "rare", "times"]
 
 
 def _expected(shared):
     def run(batches):
         m, sums = shared.value, None
-        for b in batches:
-            for i in range(0, b.num_rows, 1024):
-                made = m.expected([np.frombuffer(x, np.uint16) for x in b.slice(i, 1024).column(0).to_pylist()])[:3]
-                sums = made if sums is None else tuple(x + y for x, y in zip(sums, made))
+        for batch in _gathered(batches):
+            made = m.expected([codes for (codes,) in batch])
+            sums = made if sums is None else tuple(x + y for x, y in zip(sums, made))
         if sums is not None:
             flat = np.concatenate([x.ravel() for x in sums])
             cells = np.flatnonzero(flat > 1e-9)
@@ -276,6 +355,141 @@ def baum_welch(codes: DataFrame, model: Markov, prior: np.ndarray) -> Markov:
     return maximise(flat[:k], flat[k : k + k * k].reshape(k, k), flat[k + k * k :].reshape(k, c), prior)
 
 
+_BY_STATE = [f"n{s}" for s in range(STATES)]
+
+
+def _numbered(codes: np.ndarray, numbers: np.ndarray, classes: int) -> np.ndarray:
+    """Each token's word number: its rank, or the size of the table + its place among its row's other words."""
+    out = codes.astype(np.int64)
+    out[codes >= classes] = numbers
+    return out
+
+
+def _by_word(shared, table: int, classes: int):
+    """(word, rank, class, c, n0, ...): counts of words by state, in steps of 1 / FINE; a frequent word has its rank only."""
+    fine = FINE
+
+    def rows(words, rank, kind, c, n):
+        q = np.rint(n * fine).astype(np.int64)
+        columns = [pa.array(words, pa.binary()), pa.array(rank, pa.int32()), pa.array(kind, pa.int32()), pa.array(c, pa.int64())]
+        return pa.RecordBatch.from_arrays([*columns, *[pa.array(q[:, s]) for s in range(q.shape[1])]], ["word", "rank", "class", "c", *_BY_STATE])
+
+    def run(batches):
+        m = shared.value
+        k = len(m.start)
+        top, kinds = np.zeros((table, k)), np.zeros(table, np.int64)
+        for b in batches:
+            for s in slices(b, 0, 2 * TOKENS, WIDTH):
+                codes, numbers = ([np.frombuffer(x, t) for x in s.column(i).to_pylist()] for i, t in ((0, np.uint16), (1, np.int32)))
+                rare = s.column(2).to_pylist()
+                before = np.cumsum([0, *[len(x) for x in rare]])
+                flat = np.concatenate([np.where((n := _numbered(c, x, classes)) >= table, n + at, n) for c, x, at in zip(codes, numbers, before)])
+                kind = np.zeros(table + before[-1], np.int64)
+                kind[flat] = np.concatenate(codes)
+                sums = np.zeros((len(kind), k))
+                for at, gamma in m.posteriors(codes, np.zeros(k), np.zeros((k, k))):
+                    for j in range(k):
+                        sums[:, j] += np.bincount(flat[at], gamma[:, j], minlength=len(kind))
+                top += sums[:table]
+                kinds = np.maximum(kinds, kind[:table])
+                if before[-1]:
+                    yield rows([w for x in rare for w in x], np.full(before[-1], -1), kind[table:], [c for x in s.column(3).to_pylist() for c in x], sums[table:])
+        seen = np.flatnonzero(top.any(axis=1))
+        if len(seen):
+            yield rows([None] * len(seen), seen, kinds[seen], np.zeros(len(seen)), top[seen])
+
+    return run
+
+
+def word_states(training: DataFrame, model: Markov, table: int, classes: int) -> DataFrame:
+    """The last round: (word, rank, class, c, n0, ...) of all words of the training rows."""
+    shared = training.sparkSession.sparkContext.broadcast(model)
+    schema = ", ".join(["word binary, rank int, class int, c long", *[f"{n} long" for n in _BY_STATE]])
+    found = training.select("codes", "numbers", "rare", "times").mapInArrow(_by_word(shared, table, classes), schema)
+    return materialize(found.groupBy("word", "rank", "class").agg(F.sum("c").alias("c"), *[F.sum(n).alias(n) for n in _BY_STATE]), "words")
+
+
+class Emissions:
+    """Start, transitions, and the probability of every word in each state; the model that scores."""
+
+    def __init__(self, model: Markov, words: Vocabulary, prior: np.ndarray, totals: np.ndarray, top: np.ndarray):
+        """totals: counts by class and state; top: counts of the frequent words by state."""
+        self.table, self.classes = words.table, words.classes
+        emit = totals + PRIOR * prior[:, None]
+        self.model = Markov(model.start, model.move, (emit / emit.sum(axis=0)).T)
+        self.totals, self.suffix_total = totals, words.suffix_total
+        code = words.code[: words.table].astype(np.int64)
+        self.top = self.model.by_class[code]
+        shared = ~words.single
+        self.top[shared] = self.within(code[shared], words.share[shared], top[shared])
+
+    def within(self, code: np.ndarray, share: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Probabilities of words of shared classes by state, from their share of the class and counts by state.
+
+        A class keeps the share of an unseen word; the rest is divided by the state's own counts, but for TIED of it.
+        """
+        total, unseen = self.totals[code], (ADD / self.suffix_total[code - self.classes])[:, None]
+        share = share[:, None]
+        own = np.where(total > 0, (1 - TIED) * (1 - unseen) * n / np.where(total > 0, total, 1) + TIED * share, share)
+        return self.model.by_class[code] * own
+
+    def unseen(self, code: np.ndarray) -> np.ndarray:
+        return self.model.by_class[code] * (ADD / self.suffix_total[code - self.classes])[:, None]
+
+    def log10(self, codes: list[np.ndarray], numbers: list[np.ndarray], rare: list[int], found) -> np.ndarray:
+        """Log10 probabilities of texts; rare: their numbers of words beyond the table; found: (text, place, c, counts by state) of those seen."""
+        before = np.cumsum([0, *rare])
+        flat = [np.where((n := _numbered(c, x, self.classes)) >= self.table, n + at, n) for c, x, at in zip(codes, numbers, before)]
+        kind = np.zeros(self.table + before[-1], np.int64)
+        kind[np.concatenate(flat)] = np.concatenate(codes)
+        kind = kind[self.table :]
+        extra = self.unseen(kind)
+        text, place, c, n = found
+        if len(text):
+            at = before[text] + place
+            extra[at] = self.within(kind[at], (c + ADD) / self.suffix_total[kind[at] - self.classes], n)
+        return self.model.log10(flat, np.concatenate([self.top, extra]))
+
+
+def _emissions(seen: DataFrame, model: Markov, words: Vocabulary, prior: np.ndarray) -> Emissions:
+    """The model that scores, from the counts of the last round: sums by class, and the frequent words."""
+    totals, top = np.zeros((len(prior), STATES)), np.zeros((words.table, STATES))
+    for r in seen.groupBy("class").agg(*[F.sum(n).alias(n) for n in _BY_STATE]).collect():
+        totals[r["class"]] = [r[n] / FINE for n in _BY_STATE]
+    found = seen.where("rank >= 0").select("rank", *_BY_STATE).toPandas()  # `table` rows at most
+    top[found["rank"].to_numpy(np.int64)] = found[_BY_STATE].to_numpy(np.float64) / FINE
+    return Emissions(model, words, prior, totals, top)
+
+
+def _scored(encoded: DataFrame, rows: DataFrame, fitted, train_tokens: int) -> DataFrame:
+    """Scores of encoded texts; rows: (row, log_c, more, found) of the words beyond the table that the training rows have."""
+    fine = FINE
+    told = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score"]
+
+    def forward(batches):
+        m = fitted.value
+        for b in batches:
+            for s in slices(b, 6, 2 * TOKENS, 1024):
+                codes, numbers = ([np.frombuffer(x, t) for x in s.column(i).to_pylist()] for i, t in ((6, np.uint16), (7, np.int32)))
+                own = s.column(9)
+                each = pc.fill_null(pc.list_value_length(own), 0).to_numpy(zero_copy_only=False)
+                place, c, *n = (x.to_numpy(zero_copy_only=False) for x in own.flatten().flatten())
+                found = np.repeat(np.arange(s.num_rows), each), place, c, np.stack(n, axis=1) / fine
+                value = m.log10(codes, numbers, s.column(8).to_pylist(), found)
+                yield pa.RecordBatch.from_arrays([*[s.column(j) for j in range(6)], pa.array(value)], [*told, "score"])
+
+    kept = encoded.select(*_ENCODED[:-2], F.size("rare").alias("rare"), F.expr("aggregate(times, 0L, (a, x) -> a + x)").alias("times"))
+    more = F.coalesce("more", F.lit(0))
+    joined = kept.join(rows, "row", "left").select(
+        "doc_id", "held_out", "n_tokens",
+        (F.col("n_known") + more).cast("long").alias("n_known"),
+        F.lit(train_tokens).cast("long").alias("train_tokens"),
+        (F.col("base_score") + F.coalesce("log_c", F.lit(0.0)) + (F.col("times") - more) * F.log10(F.lit(ADD))).alias("base_score"),
+        "codes", "numbers", "rare", "found",
+    )
+    return joined.mapInArrow(forward, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
 def lm_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", table: int = TABLE, classes: int = CLASSES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
@@ -292,39 +506,30 @@ def lm_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", table:
     words = vocabulary(counts, table, classes)
     shared = spark.sparkContext.broadcast(words)
     encoded = materialize(
-        picked.mapInArrow(_encode(shared), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, within double, codes binary, rare array<binary>, times array<int>"),
+        picked.mapInArrow(_encode(shared), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, codes binary, numbers binary, rare array<binary>, times array<int>"),
         "encoded",
     )
     training = encoded.where("NOT held_out")
+    size = classes + SUFFIXES
     prior = (words.class_counts + 0.5) / (words.class_counts + 0.5).sum()
-    n = training.count()
-    part = int(min(1.0, SEED / max(1, n)) * (1 << 20))
-    chosen = training.where(F.pmod(F.xxhash64("doc_id", F.lit("model")), F.lit(1 << 20)) < part).select("doc_id", "codes")
-    model = seed([np.frombuffer(r["codes"], np.uint16) for r in sorted(chosen.collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["codes"]))], prior)
-    for _ in range(ROUNDS if n else 0):
+    sketch = spark.sparkContext.broadcast(np.vstack([np.random.default_rng(1).integers(0, 2, (size, SKETCH)) * 2 - 1, np.zeros((1, SKETCH))]).astype(np.int32))
+    around = training.select("codes").mapInArrow(_surroundings(sketch, size), "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).toPandas()
+    sums = np.zeros(size * SKETCH)
+    sums[around["cell"].to_numpy(np.int64)] = around["value"].to_numpy()
+    model = set_apart(sums.reshape(size, SKETCH), words.class_counts, prior)
+    for _ in range(ROUNDS if words.n else 0):
         model = baum_welch(training, model, prior)
-    fitted = spark.sparkContext.broadcast(model)
-
-    def forward(batches):
-        for b in batches:
-            for i in range(0, b.num_rows, 1024):
-                s = b.slice(i, 1024)
-                value = fitted.value.log10([np.frombuffer(x, np.uint16) for x in s.column(6).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*[s.column(j) for j in range(6)], pa.array(value + s.column(7).to_numpy())], [*_ENCODED[:6], "score"])
-
-    scored = encoded.select(*_ENCODED[:6], "codes", "within").mapInArrow(forward, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    pairs = encoded.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
-    found = pairs.join(counts, "word", "left").groupBy("row").agg(
-        F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + ADD)).alias("log_c"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("more")
+    seen = word_states(training, model, table, classes)
+    fitted = spark.sparkContext.broadcast(_emissions(seen, model, words, prior))
+
+    # Words beyond the table: each row gets the counts of those that the training rows have.
+    pairs = encoded.where(F.size("rare") > 0).select("row", F.posexplode(F.arrays_zip("rare", "times")).alias("place", "x")).select("row", "place", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
+    rows = pairs.join(seen.where("rank < 0").drop("rank", "class"), "word").groupBy("row").agg(
+        F.sum(F.col("times") * F.log10(F.col("c") + ADD)).alias("log_c"),
+        F.sum("times").alias("more"),
+        F.collect_list(F.struct("place", "c", *_BY_STATE)).alias("found"),
     )
-    extra = F.coalesce("log_c", F.lit(0.0))
-    return scored.join(found, "row", "left").select(
-        "doc_id", "held_out", "n_tokens",
-        (F.col("n_known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(words.n).cast("long").alias("train_tokens"),
-        (F.col("base_score") + extra).alias("base_score"),
-        (F.col("score") + extra).alias("score"),
-    )
+    return _scored(encoded, rows, fitted, words.n)
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

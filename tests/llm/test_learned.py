@@ -351,34 +351,115 @@ def test_quality_against_plain_loops(spark, sf_dir, monkeypatch):
 
 
 def test_language_model_score_by_plain_recursion(spark, small, monkeypatch):
-    """The score of whole texts from counted words and the fitted model, one token and one state at a time."""
+    """The score of whole texts from counted words, posteriors and the fitted model, one token and one state at a time."""
     fitted, real = [], language_model.baum_welch
-    monkeypatch.setattr(language_model, "baum_welch", lambda *a: fitted.append(real(*a)) or fitted[-1])
+    monkeypatch.setattr(language_model, "baum_welch", lambda *a: fitted.append((real(*a), a[2])) or fitted[-1][0])
+    monkeypatch.setattr(language_model, "FINE", 1 << 40)
     rows, classes = small[:80], 30
     out = {r["doc_id"]: r["score"] for r in language_model.lm_score(make_docs(spark, rows), table=50, classes=classes).collect()}
-    m = fitted[-1]
+    m, prior = fitted[-1]
+    states = range(len(m.start))
     tok = lambda t: [*[w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(FOLD))], b""]
     c = Counter(w for i, t, _ in rows if crc(i) % 10 for w in tok(t))
     own = {w: k for k, (w, _) in enumerate(sorted(c.items(), key=lambda x: (-x[1], x[0]))[:classes])}
-    total, kinds = Counter(), Counter()
+    assert c[list(own)[-1]] > sorted(c.values(), reverse=True)[60]  # the table of frequent words ends after the classes
+    kind = lambda w: own[w] if w in own else classes + language_model.suffix_class(w)
+    size, words = Counter(), Counter()
     for w, n in c.items():
-        if w not in own:
-            total[language_model.suffix_class(w)] += n
-            kinds[language_model.suffix_class(w)] += 1
-    # Words of one count are cut off together where the table of frequent words ends.
-    own = {w: k for w, k in own.items() if c[w] > sorted(c.values(), reverse=True)[60]}
-    if len(own) < classes:
-        raise AssertionError("the table ends within the classes")
+        size[kind(w)] += n
+        words[kind(w)] += 1
+    # The last round: each word's expected counts by state, by the plain forward and backward recursions.
+    counted = {}
+    for i, t, _ in rows:
+        if crc(i) % 10:
+            ws = tok(t)
+            e = [m.emit[:, kind(w)] for w in ws]
+            alpha, beta = [m.start * e[0]], [np.ones(len(m.start))]
+            for x in e[1:]:
+                alpha.append((alpha[-1] / alpha[-1].sum()) @ m.move * x)
+            for x in e[:0:-1]:
+                b = m.move @ (x * beta[-1])
+                beta.append(b / b.sum())
+            for w, a, b in zip(ws, alpha, reversed(beta)):
+                counted[w] = counted.get(w, 0) + a * b / (a * b).sum()
+    totals = np.zeros((len(prior), len(m.start)))
+    for w, n in counted.items():
+        totals[kind(w)] += n
+    by_class = totals + language_model.PRIOR * prior[:, None]
+    by_class /= by_class.sum(axis=0)
+
+    def emission(w):
+        k = kind(w)
+        if w in own:
+            return by_class[k]
+        d = size[k] + 0.1 * (words[k] + 1)
+        if w not in c:
+            return by_class[k] * 0.1 / d
+        return by_class[k] * ((1 - language_model.TIED) * (1 - 0.1 / d) * counted[w] / totals[k] + language_model.TIED * (c[w] + 0.1) / d)
+
     for i, t, _ in rows:
         alpha, score = None, 0.0
         for w in tok(t):
-            s = language_model.suffix_class(w)
-            k = own[w] if w in own else classes + s
-            if w not in own:
-                score += math.log10((c[w] + 0.1) / (total[s] + 0.1 * (kinds[s] + 1)))
-            states = range(len(m.start))
-            alpha = [(m.start[b] if alpha is None else sum(alpha[a] * m.move[a][b] for a in states)) * m.emit[b][k] for b in states]
+            e = emission(w)
+            alpha = [(m.start[b] if alpha is None else sum(alpha[a] * m.move[a][b] for a in states)) * e[b] for b in states]
             z = sum(alpha)
             score += math.log10(z)
             alpha = [a / z for a in alpha]
         assert out[i] == pytest.approx(score, rel=1e-6)
+
+
+def _model(rng, states, classes):
+    norm = lambda x: x / x.sum(axis=-1, keepdims=True)
+    return language_model.Markov(norm(rng.random(states)), norm(rng.random((states, states))), norm(rng.random((states, classes))))
+
+
+def test_baum_welch_counts_over_whole_sequences(monkeypatch):
+    """Counts by all paths; the same however many tokens are smoothed at once."""
+    from itertools import product
+
+    rng = np.random.default_rng(3)
+    m = _model(rng, 2, 4)
+    sequences = [rng.integers(0, 4, n).astype(np.uint16) for n in (1, 9, 3, 5, 1)]
+    starts, moves, emits = np.zeros(2), np.zeros((2, 2)), np.zeros((2, 4))
+    for s in sequences:
+        paths = []
+        for path in product(range(2), repeat=len(s)):
+            p = m.start[path[0]] * m.emit[path[0], s[0]]
+            for k in range(1, len(s)):
+                p *= m.move[path[k - 1], path[k]] * m.emit[path[k], s[k]]
+            paths.append((path, p))
+        whole = sum(p for _, p in paths)
+        for path, p in paths:
+            starts[path[0]] += p / whole
+            for k, x in enumerate(path):
+                emits[x, s[k]] += p / whole
+                if k:
+                    moves[path[k - 1], x] += p / whole
+    for tokens in (1 << 19, 7, 4, 1):
+        monkeypatch.setattr(language_model, "TOKENS", tokens)
+        for a, b in zip(m.expected(sequences), (starts, moves, emits)):
+            assert a == pytest.approx(b)
+
+
+def test_language_model_words_of_a_class_sum_to_one():
+    """In every state the words of a class and the unseen word share the class's probability."""
+    counts = [(b"xyz", 9), (b"ayz", 4), (b"byz", 2)]
+    suffix = language_model.suffix_class(b"xyz")
+    n, v = np.zeros(language_model.SUFFIXES), np.zeros(language_model.SUFFIXES)
+    for w, c in counts[1:]:
+        n[language_model.suffix_class(w)] += c
+        v[language_model.suffix_class(w)] += 1
+    words = language_model.Vocabulary(counts, 15, 3, n, v, 5, 1)
+    size = 1 + language_model.SUFFIXES
+    prior = (words.class_counts + 0.5) / (words.class_counts + 0.5).sum()
+    rng = np.random.default_rng(4)
+    by_word = rng.random((3, language_model.STATES)) * np.array([[9], [4], [2]])
+    totals, top = np.zeros((size, language_model.STATES)), np.zeros((5, language_model.STATES))
+    for k, (w, _) in enumerate(counts):
+        top[k] = by_word[k]
+        totals[words.code[k]] += by_word[k]
+    e = language_model.Emissions(_model(rng, language_model.STATES, size), words, prior, totals, top)
+    for code in {int(words.code[k]) for k in (1, 2)}:
+        own = sum(e.top[k] for k in (1, 2) if words.code[k] == code)
+        assert own + e.unseen(np.array([code]))[0] == pytest.approx(e.model.by_class[code])
+    assert words.code[0] == 0 and e.top[0] == pytest.approx(e.model.by_class[0]) and suffix < language_model.SUFFIXES
