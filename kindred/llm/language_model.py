@@ -16,6 +16,7 @@ of sums per task, added up by an aggregation.
 from __future__ import annotations
 
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +28,13 @@ from pyspark.sql import functions as F
 from kindred.llm.common import documents, id_crc, materialize, prepare, slices
 
 STATES, CLASSES, SUFFIXES, TABLE = 8, 4096, 2048, 100_000
-ROUNDS, PRIOR = 2, 200.0
+#: Rounds over classes; one over words follows.
+ROUNDS, PRIOR = 1, 200.0
 #: Sequences and tokens that are smoothed at once; a longer sequence in windows of so many tokens.
 WIDTH, TOKENS = 4096, 1 << 19
 #: Words to each side that make a class's surroundings, and the numbers that stand for them.
-AROUND, SKETCH = 8, 24
-#: Weight of what all states have in common in a word's share of its class; steps to one in its counts by state.
+AROUND, SKETCH = 8, 12
+#: Weight of what all states have in common in a word's share of its class; steps to one in a text's counts by state.
 TIED, FINE = 0.2, 256
 END = b""
 ADD = 0.1
@@ -370,9 +372,9 @@ def _by_word(shared, table: int, classes: int):
     fine = FINE
 
     def rows(words, rank, kind, c, n):
-        q = np.rint(n * fine).astype(np.int64)
-        columns = [pa.array(words, pa.binary()), pa.array(rank, pa.int32()), pa.array(kind, pa.int32()), pa.array(c, pa.int64())]
-        return pa.RecordBatch.from_arrays([*columns, *[pa.array(q[:, s]) for s in range(q.shape[1])]], ["word", "rank", "class", "c", *_BY_STATE])
+        q = np.rint(n.T * fine).astype(np.int64)
+        columns = [words, pa.array(rank, pa.int32()), pa.array(kind, pa.int32()), c]
+        return pa.RecordBatch.from_arrays([*columns, *[pa.array(x) for x in q]], ["word", "rank", "class", "c", *_BY_STATE])
 
     def run(batches):
         m = shared.value
@@ -381,8 +383,8 @@ def _by_word(shared, table: int, classes: int):
         for b in batches:
             for s in slices(b, 0, 2 * TOKENS, WIDTH):
                 codes, numbers = ([np.frombuffer(x, t) for x in s.column(i).to_pylist()] for i, t in ((0, np.uint16), (1, np.int32)))
-                rare = s.column(2).to_pylist()
-                before = np.cumsum([0, *[len(x) for x in rare]])
+                rare = s.column(2)
+                before = np.cumsum([0, *pc.list_value_length(rare).to_pylist()])
                 flat = np.concatenate([np.where((n := _numbered(c, x, classes)) >= table, n + at, n) for c, x, at in zip(codes, numbers, before)])
                 kind = np.zeros(table + before[-1], np.int64)
                 kind[flat] = np.concatenate(codes)
@@ -393,20 +395,35 @@ def _by_word(shared, table: int, classes: int):
                 top += sums[:table]
                 kinds = np.maximum(kinds, kind[:table])
                 if before[-1]:
-                    yield rows([w for x in rare for w in x], np.full(before[-1], -1), kind[table:], [c for x in s.column(3).to_pylist() for c in x], sums[table:])
+                    yield rows(rare.flatten(), np.full(before[-1], -1), kind[table:], s.column(3).flatten().cast(pa.int64()), sums[table:])
         seen = np.flatnonzero(top.any(axis=1))
         if len(seen):
-            yield rows([None] * len(seen), seen, kinds[seen], np.zeros(len(seen)), top[seen])
+            yield rows(pa.nulls(len(seen), pa.binary()), seen, kinds[seen], pa.array(np.zeros(len(seen), np.int64)), top[seen])
 
     return run
 
 
 def word_states(training: DataFrame, model: Markov, table: int, classes: int) -> DataFrame:
-    """The last round: (word, rank, class, c, n0, ...) of all words of the training rows."""
+    """The last round: (word, rank, class, c, by_state, n0, ...) of all words of the training rows.
+
+    Frequent words have counts n0, ...; of all others, by_state holds the share of each state, a byte each, in c occurrences.
+    """
     shared = training.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join(["word binary, rank int, class int, c long", *[f"{n} long" for n in _BY_STATE]])
     found = training.select("codes", "numbers", "rare", "times").mapInArrow(_by_word(shared, table, classes), schema)
-    return materialize(found.groupBy("word", "rank", "class").agg(F.sum("c").alias("c"), *[F.sum(n).alias(n) for n in _BY_STATE]), "words")
+    counted = found.groupBy("word", "rank", "class").agg(F.sum("c").alias("c"), *[F.sum(n).alias(n) for n in _BY_STATE])
+    listed, whole = F.col("rank") >= 0, sum(F.col(n) for n in _BY_STATE)
+    bytes_ = [F.shiftleft(F.round(F.col(n) * 255 / F.col("whole")).cast("long"), 8 * i) for i, n in enumerate(_BY_STATE)]
+    packed = reduce(lambda x, y: x.bitwiseOR(y), bytes_)
+    return materialize(
+        counted.withColumn("whole", whole).select("word", "rank", "class", "c", F.when(~listed, packed).alias("by_state"), *[F.when(listed, F.col(n)).alias(n) for n in _BY_STATE]), "words"
+    )
+
+
+def _unpacked(c: np.ndarray, by_state: np.ndarray) -> np.ndarray:
+    """Counts by state of words with c occurrences."""
+    shares = np.ascontiguousarray(by_state, "<i8").view(np.uint8).reshape(-1, 8)[:, :STATES].astype(np.float64)
+    return c[:, None] * shares / shares.sum(axis=1, keepdims=True)
 
 
 class Emissions:
@@ -454,16 +471,18 @@ class Emissions:
 def _emissions(seen: DataFrame, model: Markov, words: Vocabulary, prior: np.ndarray) -> Emissions:
     """The model that scores, from the counts of the last round: sums by class, and the frequent words."""
     totals, top = np.zeros((len(prior), STATES)), np.zeros((words.table, STATES))
-    for r in seen.groupBy("class").agg(*[F.sum(n).alias(n) for n in _BY_STATE]).collect():
-        totals[r["class"]] = [r[n] / FINE for n in _BY_STATE]
-    found = seen.where("rank >= 0").select("rank", *_BY_STATE).toPandas()  # `table` rows at most
+    shares = [F.shiftright("by_state", 8 * i).bitwiseAND(255) for i in range(STATES)]
+    others = [F.sum(F.col("c") * x / sum(shares)).alias(n) for x, n in zip(shares, _BY_STATE)]
+    for r in seen.where("rank < 0").groupBy("class").agg(*others).collect():
+        totals[r["class"]] = [r[n] for n in _BY_STATE]
+    found = seen.where("rank >= 0").select("rank", "class", *_BY_STATE).toPandas()  # `table` rows at most
     top[found["rank"].to_numpy(np.int64)] = found[_BY_STATE].to_numpy(np.float64) / FINE
+    np.add.at(totals, found["class"].to_numpy(np.int64), found[_BY_STATE].to_numpy(np.float64) / FINE)
     return Emissions(model, words, prior, totals, top)
 
 
 def _scored(encoded: DataFrame, rows: DataFrame, fitted, train_tokens: int) -> DataFrame:
     """Scores of encoded texts; rows: (row, log_c, more, found) of the words beyond the table that the training rows have."""
-    fine = FINE
     told = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score"]
 
     def forward(batches):
@@ -473,8 +492,8 @@ def _scored(encoded: DataFrame, rows: DataFrame, fitted, train_tokens: int) -> D
                 codes, numbers = ([np.frombuffer(x, t) for x in s.column(i).to_pylist()] for i, t in ((6, np.uint16), (7, np.int32)))
                 own = s.column(9)
                 each = pc.fill_null(pc.list_value_length(own), 0).to_numpy(zero_copy_only=False)
-                place, c, *n = (x.to_numpy(zero_copy_only=False) for x in own.flatten().flatten())
-                found = np.repeat(np.arange(s.num_rows), each), place, c, np.stack(n, axis=1) / fine
+                place, c, by_state = (x.to_numpy(zero_copy_only=False) for x in own.flatten().flatten())
+                found = np.repeat(np.arange(s.num_rows), each), place, c, _unpacked(c, by_state)
                 value = m.log10(codes, numbers, s.column(8).to_pylist(), found)
                 yield pa.RecordBatch.from_arrays([*[s.column(j) for j in range(6)], pa.array(value)], [*told, "score"])
 
@@ -524,10 +543,10 @@ def lm_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", table:
 
     # Words beyond the table: each row gets the counts of those that the training rows have.
     pairs = encoded.where(F.size("rare") > 0).select("row", F.posexplode(F.arrays_zip("rare", "times")).alias("place", "x")).select("row", "place", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
-    rows = pairs.join(seen.where("rank < 0").drop("rank", "class"), "word").groupBy("row").agg(
+    rows = pairs.join(seen.where("rank < 0").select("word", "c", "by_state"), "word").groupBy("row").agg(
         F.sum(F.col("times") * F.log10(F.col("c") + ADD)).alias("log_c"),
         F.sum("times").alias("more"),
-        F.collect_list(F.struct("place", "c", *_BY_STATE)).alias("found"),
+        F.collect_list(F.struct("place", "c", "by_state")).alias("found"),
     )
     return _scored(encoded, rows, fitted, words.n)
 

@@ -354,7 +354,7 @@ def test_language_model_score_by_plain_recursion(spark, small, monkeypatch):
     """The score of whole texts from counted words, posteriors and the fitted model, one token and one state at a time."""
     fitted, real = [], language_model.baum_welch
     monkeypatch.setattr(language_model, "baum_welch", lambda *a: fitted.append((real(*a), a[2])) or fitted[-1][0])
-    monkeypatch.setattr(language_model, "FINE", 1 << 40)
+    monkeypatch.setattr(language_model, "FINE", 1 << 30)
     rows, classes = small[:80], 30
     out = {r["doc_id"]: r["score"] for r in language_model.lm_score(make_docs(spark, rows), table=50, classes=classes).collect()}
     m, prior = fitted[-1]
@@ -382,6 +382,11 @@ def test_language_model_score_by_plain_recursion(spark, small, monkeypatch):
                 beta.append(b / b.sum())
             for w, a, b in zip(ws, alpha, reversed(beta)):
                 counted[w] = counted.get(w, 0) + a * b / (a * b).sum()
+    top = set(sorted(c, key=lambda w: (-c[w], w))[:50]) & {w for w in c if c[w] > sorted(c.values(), reverse=True)[50]}
+    for w in set(c) - top:
+        shares = np.round(255 * counted[w] / counted[w].sum())
+        if w not in own:
+            counted[w] = c[w] * shares / shares.sum()
     totals = np.zeros((len(prior), len(m.start)))
     for w, n in counted.items():
         totals[kind(w)] += n
@@ -395,7 +400,8 @@ def test_language_model_score_by_plain_recursion(spark, small, monkeypatch):
         d = size[k] + 0.1 * (words[k] + 1)
         if w not in c:
             return by_class[k] * 0.1 / d
-        return by_class[k] * ((1 - language_model.TIED) * (1 - 0.1 / d) * counted[w] / totals[k] + language_model.TIED * (c[w] + 0.1) / d)
+        share, tied = (c[w] + 0.1) / d, language_model.TIED
+        return np.array([p * ((1 - tied) * (1 - 0.1 / d) * n / t + tied * share if t else share) for p, n, t in zip(by_class[k], counted[w], totals[k])])
 
     for i, t, _ in rows:
         alpha, score = None, 0.0
