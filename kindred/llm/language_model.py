@@ -543,7 +543,9 @@ def lm_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", table:
 
     # Words beyond the table: each row gets the counts of those that the training rows have.
     pairs = encoded.where(F.size("rare") > 0).select("row", F.posexplode(F.arrays_zip("rare", "times")).alias("place", "x")).select("row", "place", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
-    rows = pairs.join(seen.where("rank < 0").select("word", "c", "by_state"), "word").groupBy("row").agg(
+    # They are dealt by row before they are gathered: a task has few of a row's words, so gathering first would only cost.
+    told = pairs.join(seen.where("rank < 0").select("word", "c", "by_state"), "word").select("row", "place", "times", "c", "by_state").repartition("row")
+    rows = told.groupBy("row").agg(
         F.sum(F.col("times") * F.log10(F.col("c") + ADD)).alias("log_c"),
         F.sum("times").alias("more"),
         F.collect_list(F.struct("place", "c", "by_state")).alias("found"),
