@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,3 +102,22 @@ def filter_rows(docs: DataFrame, text: str, judge) -> DataFrame:
 
     prepare(docs.sparkSession)
     return docs.mapInArrow(run, schema)
+
+
+def trimmed(run):
+    """A function over batches whose worker gives freed memory back to the system at the end of a task, as workers outlive tasks."""
+
+    @functools.wraps(run)
+    def outer(batches):
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # not every C library can
+                pass
+
+    return outer

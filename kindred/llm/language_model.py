@@ -25,13 +25,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm.common import documents, id_crc, materialize, prepare, slices
+from kindred.llm.common import documents, id_crc, materialize, prepare, slices, trimmed
 
 STATES, CLASSES, SUFFIXES, TABLE = 8, 4096, 2048, 100_000
 #: Rounds over classes; one over words follows.
 ROUNDS, PRIOR = 1, 200.0
 #: Sequences and tokens that are smoothed at once; a longer sequence in windows of so many tokens.
-WIDTH, TOKENS = 4096, 1 << 19
+WIDTH, TOKENS = 4096, 1 << 18
 #: Words to each side that make a class's surroundings, and the numbers that stand for them.
 AROUND, SKETCH = 8, 12
 #: Weight of what all states have in common in a word's share of its class; steps to one in a text's counts by state.
@@ -57,7 +57,7 @@ def _counts(batches):
         for s in slices(b, 0):
             for t in s.column(0).cast(pa.large_binary()).to_pylist():
                 seen.update(tokens(t or b""))
-            if len(seen) > 400_000:
+            if len(seen) > 200_000:
                 yield out()
                 seen.clear()
     if seen:
@@ -67,7 +67,7 @@ def _counts(batches):
 def word_counts(texts: DataFrame) -> DataFrame:
     """(word, c) of a table with the column text; the end is the empty word."""
     prepare(texts.sparkSession)
-    return materialize(texts.select("text").mapInArrow(_counts, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "counts")
+    return materialize(texts.select("text").mapInArrow(trimmed(_counts), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "counts")
 
 
 def suffix_class(word: bytes) -> int:
@@ -132,7 +132,7 @@ def vocabulary(counts: DataFrame, table: int, classes: int) -> Vocabulary:
             yield pa.RecordBatch.from_arrays([pa.array([suffix_class(w) for w in b.column(0).to_pylist()], pa.int32()), b.column(1)], ["class", "c"])
 
     total_n, total_v = np.zeros(SUFFIXES), np.zeros(SUFFIXES)
-    for r in counts.mapInArrow(classed, "class int, c long").groupBy("class").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():
+    for r in counts.mapInArrow(trimmed(classed), "class int, c long").groupBy("class").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():
         total_n[r["class"]], total_v[r["class"]] = r["c"], r["v"]
     for w, c in top[:classes]:  # these are classes of their own
         total_n[suffix_class(w)] -= c
@@ -252,7 +252,7 @@ def _surroundings(shared, classes: int):
         for batch in _gathered(batches):
             pad = np.full(AROUND, classes, np.int64)  # no token
             flat = np.concatenate([pad, *[x for (codes,) in batch for x in (codes, pad)]])
-            step = TOKENS // 8
+            step = TOKENS // 4
             for i in range(0, len(flat), step):
                 low, high = max(0, i - AROUND), min(len(flat), i + step + AROUND)
                 part = flat[low:high]
@@ -350,7 +350,7 @@ def baum_welch(codes: DataFrame, model: Markov, prior: np.ndarray) -> Markov:
     """One round over all rows of a table with the column codes."""
     k, c = model.emit.shape
     shared = codes.sparkSession.sparkContext.broadcast(model)
-    sums = codes.select("codes").mapInArrow(_expected(shared), "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).toPandas()
+    sums = codes.select("codes").mapInArrow(trimmed(_expected(shared)), "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).toPandas()
     flat = np.zeros(k + k * k + k * c)  # a bounded number of cells, whatever the corpus
     flat[sums["cell"].to_numpy()] = sums["value"].to_numpy()
     shared.unpersist()
@@ -410,7 +410,7 @@ def word_states(training: DataFrame, model: Markov, table: int, classes: int) ->
     """
     shared = training.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join(["word binary, rank int, class int, c long", *[f"{n} long" for n in _BY_STATE]])
-    found = training.select("codes", "numbers", "rare", "times").mapInArrow(_by_word(shared, table, classes), schema)
+    found = training.select("codes", "numbers", "rare", "times").mapInArrow(trimmed(_by_word(shared, table, classes)), schema)
     counted = found.groupBy("word", "rank", "class").agg(F.sum("c").alias("c"), *[F.sum(n).alias(n) for n in _BY_STATE])
     listed, whole = F.col("rank") >= 0, sum(F.col(n) for n in _BY_STATE)
     bytes_ = [F.shiftleft(F.round(F.col(n) * 255 / F.col("whole")).cast("long"), 8 * i) for i, n in enumerate(_BY_STATE)]
@@ -506,7 +506,7 @@ def _scored(encoded: DataFrame, rows: DataFrame, fitted, train_tokens: int) -> D
         (F.col("base_score") + F.coalesce("log_c", F.lit(0.0)) + (F.col("times") - more) * F.log10(F.lit(ADD))).alias("base_score"),
         "codes", "numbers", "rare", "found",
     )
-    return joined.mapInArrow(forward, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return joined.mapInArrow(trimmed(forward), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def lm_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", table: int = TABLE, classes: int = CLASSES) -> DataFrame:
@@ -525,14 +525,14 @@ def lm_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", table:
     words = vocabulary(counts, table, classes)
     shared = spark.sparkContext.broadcast(words)
     encoded = materialize(
-        picked.mapInArrow(_encode(shared), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, codes binary, numbers binary, rare array<binary>, times array<int>"),
+        picked.mapInArrow(trimmed(_encode(shared)), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, codes binary, numbers binary, rare array<binary>, times array<int>"),
         "encoded",
     )
     training = encoded.where("NOT held_out")
     size = classes + SUFFIXES
     prior = (words.class_counts + 0.5) / (words.class_counts + 0.5).sum()
     sketch = spark.sparkContext.broadcast(np.vstack([np.random.default_rng(1).integers(0, 2, (size, SKETCH)) * 2 - 1, np.zeros((1, SKETCH))]).astype(np.int32))
-    around = training.select("codes").mapInArrow(_surroundings(sketch, size), "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).toPandas()
+    around = training.select("codes").mapInArrow(trimmed(_surroundings(sketch, size)), "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).toPandas()
     sums = np.zeros(size * SKETCH)
     sums[around["cell"].to_numpy(np.int64)] = around["value"].to_numpy()
     model = set_apart(sums.reshape(size, SKETCH), words.class_counts, prior)
