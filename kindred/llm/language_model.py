@@ -32,6 +32,8 @@ STATES, CLASSES, SUFFIXES, TABLE = 8, 4096, 2048, 100_000
 ROUNDS, PRIOR = 1, 200.0
 #: Sequences and tokens that are smoothed at once; a longer sequence in windows of so many tokens.
 WIDTH, TOKENS = 4096, 1 << 18
+#: Tokens that are sorted by the length of their sequences before, so that those smoothed at once have like lengths.
+GATHER = 1 << 21
 #: Words to each side that make a class's surroundings, and the numbers that stand for them.
 AROUND, SKETCH = 8, 12
 #: Weight of what all states have in common in a word's share of its class; steps to one in a text's counts by state.
@@ -147,58 +149,71 @@ class Markov:
         self.start, self.move, self.emit = start, move, emit
         self.by_class = np.ascontiguousarray(emit.T)
 
-    def posteriors(self, sequences: list[np.ndarray], starts: np.ndarray, moves: np.ndarray):
-        """(places in the concatenated sequences, probabilities of the states there), each place once; adds to starts and moves.
-
-        Forward and backward over whole sequences. Where one has more than TOKENS tokens, only the forward vectors at the
-        borders of windows are kept, and a window's vectors are made again when the backward pass comes to it.
-        """
+    @staticmethod
+    def _batches(sequences: list[np.ndarray]):
+        """(sequences' places in the list, the concatenation, offsets in it, how many reach each step, borders of windows of steps)."""
         lengths = np.array([len(s) for s in sequences])
         flat, offset = np.concatenate(sequences), np.cumsum(lengths) - lengths
         order = np.argsort(-lengths, kind="stable")
         order = order[lengths[order] > 0]
         batch = np.maximum(np.arange(len(order)) // WIDTH, (np.cumsum(lengths[order]) - 1) // TOKENS)
         for own in np.split(order, np.flatnonzero(np.diff(batch)) + 1) if len(order) else []:
-            size, off = lengths[own], offset[own]
+            size = lengths[own]
             live = np.searchsorted(-size, -np.arange(size[0]), side="left")  # the first ones, as they are sorted
-            window = (np.cumsum(live) - 1) // TOKENS
-            edges = [0, *(np.flatnonzero(np.diff(window)) + 1).tolist(), len(live)]
+            edges = np.flatnonzero(np.diff((np.cumsum(live) - 1) // TOKENS)) + 1
+            yield own, flat, offset[own], live, [0, *edges.tolist(), len(live)]
+
+    def _forward(self, flat, off, live, a: int, b: int, before, emissions: np.ndarray):
+        """Sequences, places, emissions, scaled forward vectors and scales of the steps a to b, after the vectors `before`."""
+        sizes = live[a:b]
+        ends, n = np.cumsum(sizes), int(sizes.sum())
+        who = np.arange(n) - np.repeat(ends - sizes, sizes)
+        at = off[who] + np.repeat(np.arange(a, b), sizes)
+        here, alpha, scale, ones = emissions[flat[at]], np.empty((n, len(self.start))), np.empty((n, 1)), np.ones((len(self.start), 1))
+        for t, m, end in zip(range(a, b), sizes.tolist(), ends.tolist()):
+            x, z = alpha[end - m : end], scale[end - m : end]
+            if t:
+                np.matmul(before[:m], self.move, out=x)
+            else:
+                x[:] = self.start
+            x *= here[end - m : end]
+            np.matmul(x, ones, out=z)
+            x /= z
+            before = x
+        return who, at, here, alpha, scale
+
+    def posteriors(self, sequences: list[np.ndarray], starts: np.ndarray, moves: np.ndarray):
+        """(places in the concatenated sequences, probabilities of the states there), each place once; adds to starts and moves.
+
+        Forward and backward over whole sequences. Where one has more than TOKENS tokens, only the forward vectors at the
+        borders of windows are kept, and a window's vectors are made again when the backward pass comes to it.
+        """
+        back = np.ascontiguousarray(self.move.T)
+        for own, flat, off, live, edges in self._batches(sequences):
             enter = [None]
             for a, b in zip(edges[:-2], edges[1:-1]):
-                enter.append(self._forward(flat, off, live, a, b, enter[-1])[1][-live[b - 1] :].copy())
+                enter.append(self._forward(flat, off, live, a, b, enter[-1], self.by_class)[3][-live[b - 1] :].copy())
             beta = np.ones((len(own), len(self.start)))
             for a, b, before in reversed(list(zip(edges, edges[1:], enter))):
-                at, alpha, scale = self._forward(flat, off, live, a, b, before)
-                ends = np.cumsum(live[a:b])
-                for t in range(b - 1, a - 1, -1):
-                    m, end = live[t], ends[t - a]
-                    here = slice(end - m, end)
-                    gamma = alpha[here] * beta[:m]
-                    gamma /= gamma.sum(axis=1, keepdims=True)
-                    if t == 0:
-                        starts += gamma.sum(axis=0)
-                    else:
-                        last = before if t == a else alpha[end - m - live[t - 1] : end - m]
-                        ahead = self.by_class[flat[at[here]]] * beta[:m] / scale[here, None]
-                        moves += self.move * (last[:m].T @ ahead)
-                        beta[:m] = ahead @ self.move.T
-                    alpha[here] = gamma
+                _, at, ahead, alpha, scale = self._forward(flat, off, live, a, b, before, self.by_class)
+                ahead /= scale
+                after, end = np.empty_like(alpha), len(at)
+                for m in live[a:b][::-1].tolist():
+                    after[end - m : end] = beta[:m]
+                    x = ahead[end - m : end]
+                    x *= beta[:m]
+                    np.matmul(x, back, out=beta[:m])
+                    end -= m
+                if a:
+                    moves += self.move * (before[: live[a]].T @ ahead[: live[a]])
+                last = np.arange(live[a], len(at)) - np.repeat(live[a : b - 1], live[a + 1 : b])
+                moves += self.move * (alpha[last].T @ ahead[live[a] :])
+                alpha *= after
+                alpha /= alpha @ np.ones((len(self.start), 1))
+                if not a:
+                    starts += alpha[: live[0]].sum(axis=0)
                 yield at, alpha
 
-    def _forward(self, flat, off, live, a: int, b: int, before):
-        """Places, scaled forward vectors and scales of the steps a to b of sequences, after the vectors `before`."""
-        n = int(live[a:b].sum())
-        at, alpha, scale, end = np.empty(n, np.int64), np.empty((n, len(self.start))), np.empty(n), 0
-        for t in range(a, b):
-            m = live[t]
-            here = slice(end, end + m)
-            at[here] = off[:m] + t
-            x = self.by_class[flat[at[here]]] * (self.start if t == 0 else before[:m] @ self.move)
-            scale[here] = x.sum(axis=1)
-            before = alpha[here] = x / scale[here, None]
-            end += m
-        return at, alpha, scale
-
     def expected(self, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Baum-Welch counts of whole sequences: starts, moves, emissions."""
         k, c = self.emit.shape
@@ -215,25 +230,13 @@ class Markov:
 
         A sequence holds classes, or rows of `emissions` (probabilities by state) if given.
         """
-        emissions = self.by_class if emissions is None else emissions
-        out = np.zeros(len(sequences))
-        order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
-        for at in range(0, len(order), 1024):
-            own = [i for i in order[at : at + 1024] if len(sequences[i])]
-            if not own:
-                continue
-            lengths = np.array([len(sequences[i]) for i in own])
-            ends = -lengths  # ascending
-            flat, offset = np.concatenate([sequences[i] for i in own]), np.cumsum(lengths) - lengths
-            total, alpha = np.zeros(len(own)), None
-            for t in range(int(lengths[0])):
-                m = int(np.searchsorted(ends, -t, side="left"))
-                here = emissions[flat[offset[:m] + t]]
-                a = here * self.start if t == 0 else (alpha[:m] @ self.move) * here
-                scale = a.sum(axis=1)
-                total[:m] += np.log10(scale)
-                alpha = a / scale[:, None]
-            out[own] = total
+        emissions, out = self.by_class if emissions is None else emissions, np.zeros(len(sequences))
+        for own, flat, off, live, edges in self._batches(sequences):
+            before = None
+            for a, b in zip(edges, edges[1:]):
+                who, _, _, alpha, scale = self._forward(flat, off, live, a, b, before, emissions)
+                out[own] += np.bincount(who, np.log10(scale[:, 0]), minlength=len(own))
+                before = alpha[-live[b - 1] :]
         return out
 
 
@@ -269,14 +272,14 @@ def _surroundings(shared, classes: int):
 
 
 def _gathered(batches):
-    """Lists of rows of arrays, of TOKENS tokens or a row more, from batches with binary columns of 16-bit and then 32-bit numbers."""
+    """Lists of rows of arrays, of GATHER tokens or a row more, from batches with binary columns of 16-bit and then 32-bit numbers."""
     rows, held = [], 0
     for b in batches:
         columns = [[np.frombuffer(x, kind) for x in b.column(i).to_pylist()] for i, kind in zip(range(b.num_columns), (np.uint16, np.int32))]
         for row in zip(*columns):
             rows.append(row)
             held += len(row[0])
-            if held >= TOKENS:
+            if held >= GATHER:
                 yield rows
                 rows, held = [], 0
     if rows:
@@ -381,7 +384,7 @@ def _by_word(shared, table: int, classes: int):
         k = len(m.start)
         top, kinds = np.zeros((table, k)), np.zeros(table, np.int64)
         for b in batches:
-            for s in slices(b, 0, 2 * TOKENS, WIDTH):
+            for s in slices(b, 0, 2 * GATHER, WIDTH):
                 codes, numbers = ([np.frombuffer(x, t) for x in s.column(i).to_pylist()] for i, t in ((0, np.uint16), (1, np.int32)))
                 rare = s.column(2)
                 before = np.cumsum([0, *pc.list_value_length(rare).to_pylist()])
@@ -488,7 +491,7 @@ def _scored(encoded: DataFrame, rows: DataFrame, fitted, train_tokens: int) -> D
     def forward(batches):
         m = fitted.value
         for b in batches:
-            for s in slices(b, 6, 2 * TOKENS, 1024):
+            for s in slices(b, 6, 2 * GATHER, WIDTH):
                 codes, numbers = ([np.frombuffer(x, t) for x in s.column(i).to_pylist()] for i, t in ((6, np.uint16), (7, np.int32)))
                 own = s.column(9)
                 each = pc.fill_null(pc.list_value_length(own), 0).to_numpy(zero_copy_only=False)
