@@ -8,7 +8,7 @@ import functools
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.plans.storage import discard, materialize, prepare, scratch, shared_root  # noqa: F401
+from kindred.plans.storage import discard, materialize, prepare, scratch, shared_root, sized  # noqa: F401
 
 #: Words everywhere in this subpackage: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm.common import documents, filter_rows, id_crc, materialize, prepare, slices, table_of
+from kindred.llm.common import documents, filter_rows, id_crc, materialize, prepare, sized, slices, table_of
 
 ORDERS, PROBES, SLOTS = (3, 4), 3, 1 << 20
 SAMPLE, RATE, SHARE, PLANE = 3000, 2e-5, 0.5, 64
@@ -159,7 +159,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     cuts = table_of(docs.sparkSession, [(lang, int(min(1.0, sample / n) * (1 << 20))) for n, lang in counts], "lang string, cut int")
     chosen = known.where("text IS NOT NULL").join(F.broadcast(cuts), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 20)) < F.col("cut"))
     grams = chosen.select("lang", "text").mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    grams = materialize(grams, "grams")
+    grams = materialize(sized(grams, 64 * sum(min(n, sample) for n, _ in counts)), "grams")  # n-grams of so many texts, narrow rows
     totals = grams.groupBy("lang").agg(F.sum("n").cast("double").alias("total"))
     rated = grams.join(F.broadcast(totals), "lang").select("lang", "gram", (F.col("n") / F.col("total")).alias("rate")).where(F.col("rate") >= RATE)
     most = rated.groupBy("gram").agg(F.max("rate").alias("most"))

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm.common import documents, few, materialize, prepare, scratch, slices, text_sha, without
+from kindred.llm.common import documents, few, materialize, prepare, scratch, sized, slices, text_sha, without
 from kindred.operators.components import connected_components
 
 WORDS, COMPONENTS, DISTANCE, PERCENT = 5, 64, 19, 85
@@ -263,8 +263,9 @@ def _sides(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(u, v, linked) of distinct pairs."""
-    return materialize(_sides(pairs, sets, "shingles").mapInArrow(_similar(percent), "u long, v long, linked boolean"), "confirmed")
+    """(u, v, linked) of distinct pairs, a table."""
+    made = _sides(pairs, sets, "shingles").mapInArrow(_similar(percent), "u long, v long, linked boolean")
+    return materialize(sized(made, 32 * pairs.count()), "confirmed")  # two sets a row
 
 
 def _labelled(links: DataFrame) -> DataFrame:
@@ -324,16 +325,19 @@ def near_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     docs = docs.select("doc_id", text_sha(F.col("text")).alias("sha"), "text")
     with scratch() as keep:
         signed = materialize(docs.mapInArrow(_signed, "doc_id long, sha binary, n long, whole binary, sig binary"), "signed")
+        n = signed.count()
         least = F.min(F.struct("doc_id", "sha", "sig"))
         classes = signed.where("n > 0").groupBy("whole").agg(least.alias("own")).select("whole", "own.*")
-        classes = materialize(classes.select(F.monotonically_increasing_id().alias("node"), "*"), "classes")
+        classes = materialize(sized(classes.select(F.monotonically_increasing_id().alias("node"), "*"), n), "classes")
         sigs = classes.select("node", "sig")
         keyed = sigs.mapInArrow(_keyed(distance), "key long, node long")
         shared = keyed.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("members")).where("members > 1")
-        buckets = materialize(keyed.join(materialize(shared, "shared"), "key").select("key", "node", "first", "members"), "buckets")
+        shared = materialize(sized(shared, n * COMPONENTS // 8), "shared")  # narrow rows
+        buckets = materialize(sized(keyed.join(shared, "key").select("key", "node", "first", "members"), n * COMPONENTS // 8), "buckets")
+        m = buckets.count()
         stars = buckets.where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v")).distinct()
-        stars = materialize(_sides(stars, sigs, "sig").mapInArrow(_near(distance), "u long, v long"), "stars")
-        wanted = materialize(classes.join(buckets.select("node").distinct(), "node").select("node", F.col("doc_id").alias("of"), F.col("sha").alias("of_sha")), "wanted")
+        stars = materialize(sized(_sides(stars, sigs, "sig").mapInArrow(_near(distance), "u long, v long"), 2 * m), "stars")
+        wanted = materialize(sized(classes.join(buckets.select("node").distinct(), "node").select("node", F.col("doc_id").alias("of"), F.col("sha").alias("of_sha")), n), "wanted")
         texts = docs.join(few(wanted), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("sha") == F.col("of_sha"))).select("node", "text")
         sets = materialize(texts.mapInArrow(_sets, "node long, shingles binary"), "sets")
         if sets.groupBy("node").count().where("count > 1").limit(1).count():  # rows that repeat an id and a text, in several tasks
@@ -344,16 +348,18 @@ def near_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         named = lambda df: df.join(roots, "node", "left").select("leaf", "key", "node", "members", F.coalesce("root", "node").alias("comp"))
 
         def unlike(df):
-            df = materialize(named(df), "named")
+            df = materialize(sized(named(df), m), "named")
             both = df.groupBy("leaf").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("leaf")
-            return materialize(df.join(materialize(both, "open"), "leaf"), "members")
+            return materialize(sized(df.join(materialize(sized(both, m), "open"), "leaf"), m), "members")
 
         members, level = unlike(several), 0
         while level < LEVELS and (large := materialize(_crowded(members).where(F.col("outside") > SPLIT * BLOCK).select("leaf"), "large")).limit(1).count():
             level += 1
-            members = unlike(_finer(members.drop("comp"), large, sigs, distance, level))
+            finer = _finer(members.drop("comp"), large, sigs, distance, level)
+            m = finer.count()
+            members = unlike(finer)
         nodes = members.select("node").distinct()
-        both = materialize(sigs.join(nodes, "node").join(sets, "node").select("node", "sig", "shingles").mapInArrow(_sketched, "node long, both binary"), "sketches")
+        both = materialize(sized(sigs.join(nodes, "node").join(sets, "node").select("node", "sig", "shingles").mapInArrow(_sketched, "node long, both binary"), 32 * n), "sketches")
         wave = WAVE
         while True:
             crowded = materialize(_crowded(members), "crowded") if members.where(F.col("members") > BLOCK).limit(1).count() else None
@@ -361,16 +367,16 @@ def near_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             found = materialize(dealt.repartition("place").sortWithinPartitions("place").mapInArrow(_cross(wave, distance, far), "u long, v long"), "found")
             cut, more = found.agg(F.count_if(F.col("u") < 0), F.count_if(F.col("u") >= 0)).first()
             if more:
-                new = materialize(found.where("u >= 0").distinct().join(links.select("u", "v"), ["u", "v"], "left_anti"), "new")
+                new = materialize(sized(found.where("u >= 0").distinct().join(links.select("u", "v"), ["u", "v"], "left_anti"), more), "new")
                 links = links.unionByName(_confirm(new, sets, percent))
                 roots = _labelled(links)
             if not cut:
                 break
             wave *= 16
-            left = materialize(found.where("u < 0").select(F.col("v").alias("leaf")).distinct(), "left")
+            left = materialize(sized(found.where("u < 0").select(F.col("v").alias("leaf")).distinct(), cut), "left")
             members = unlike(members.drop("comp").join(left, "leaf", "left_semi"))
         named = signed.drop("sig").join(classes.select(F.col("whole").alias("of"), "node"), (F.col("whole") == F.col("of")) & (F.col("n") > 0), "left").join(roots, "node", "left")
-        return keep(materialize(named.select("doc_id", "sha", "n", F.coalesce("root", "node").alias("root")), "rooted"))
+        return keep(materialize(sized(named.select("doc_id", "sha", "n", F.coalesce("root", "node").alias("root")), n), "rooted"))
 
 
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -393,11 +399,12 @@ def keep_one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """
     with scratch() as keep:
         named = near_classes(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), percent)
-        rows = materialize(named.where("root IS NOT NULL").groupBy("root", "doc_id", "sha").agg(F.count("*").alias("copies")), "rows")
+        n = named.count()
+        rows = materialize(sized(named.where("root IS NOT NULL").groupBy("root", "doc_id", "sha").agg(F.count("*").alias("copies")), n), "rows")
         order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("sha").alias("c"))
         best = rows.groupBy("root").agg(F.min(order).alias("best"))
         judged = rows.join(best, "root").select("doc_id", "sha", "copies", F.coalesce(F.col("doc_id").eqNullSafe(F.col("best.b")) & (F.col("sha") == F.col("best.c")), F.lit(False)).alias("stays"))
-        gone = keep(materialize(judged.where("NOT stays OR copies > 1"), "gone"))
+        gone = keep(materialize(sized(judged.where("NOT stays OR copies > 1"), n), "gone"))
     return without(docs, doc_id, text, gone)
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kindred.llm.bpe import encoder, vocabulary_path
-from kindred.llm.common import documents, materialize, prepare, slices
+from kindred.llm.common import documents, materialize, prepare, sized, slices
 
 SIZE = 2048
 _RANK_BITS = 48
@@ -209,7 +209,7 @@ def pack(docs: DataFrame, path: str | None = None, size: int = SIZE, doc_id: str
     come, other columns are ignored, an empty table gives an empty result.
     """
     cut = materialize(pieces(docs, path or vocabulary_path(), size, doc_id, text), "pieces")
-    counted = materialize(cut.groupBy("length", "task").agg(F.count("*").alias("n")), "lengths")
+    counted = materialize(sized(cut.groupBy("length", "task").agg(F.count("*").alias("n")), cut.count()), "lengths")
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counted.select("length", "task", before.alias("before"))
     histogram = {r["length"]: r["n"] for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # `size` rows at most

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm.common import documents, filter_rows, id_crc, labels, materialize, prepare, scratch, slices
+from kindred.llm.common import documents, filter_rows, id_crc, labels, materialize, prepare, scratch, sized, slices
 
 SAMPLE, LEXICON, LEVELS, NEAR, CACHE = 4000, 20_000, 16, 3, 50_000
 #: Least distinct contexts of a word (of a stem) in toxic texts, and least texts.
@@ -336,7 +336,7 @@ def learn_lexicons(sample: DataFrame) -> list[Lexicon]:
         body = F.col(f"body{h}")
         sums += [F.count_if(bad & body.isNotNull()).alias(f"a{h}"), F.count_if(~bad & body.isNotNull()).alias(f"b{h}"), F.size(F.collect_set(F.when(bad, body))).alias(f"texts{h}")]  # SAMPLE bodies at most, about
         sums += [F.count_if(bad & body.isNotNull() & (F.col("aimed") == 1)).alias(f"aimed{h}")]
-    counts = materialize(once.groupBy("word").agg(*sums), "words")
+    counts = materialize(sized(once.groupBy("word").agg(*sums), 96 * SAMPLE), "words")  # of 3 * SAMPLE texts
     return [_lexicon(counts.select("word", *[F.col(f"{c}{h}").alias(c) for c in ("a", "b", "texts", "aimed")]), sample if h == 2 else None) for h in range(3)]
 
 

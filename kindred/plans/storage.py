@@ -32,6 +32,19 @@ def shared_root(spark: SparkSession) -> str:
     return _ROOTS[app]
 
 
+#: Rows of a narrow table (200 bytes each, say) that a task writes at least, where their number is known.
+ROWS = 1 << 15
+
+
+def sized(df: DataFrame, rows: int | None) -> DataFrame:
+    """df, to be materialized, in no more tasks than `rows` need: a task for ROWS of them, but two for each core at least.
+
+    Every task writes a file, and a file in a local folder costs several launches of a process, so a small table is not to be
+    hundreds of files. `rows` is a bound (wide rows count several times), or None if none is known.
+    """
+    return df if rows is None else df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS)))
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back.
 

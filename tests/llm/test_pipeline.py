@@ -2,6 +2,7 @@ import pytest
 
 import corpus_pipeline
 from kindred.llm import exact_dedup, language_id, near_dedup, toxicity
+from kindred.plans import storage
 from tests.llm.conftest import make_docs
 from tests.llm.test_exact_dedup import brute as brute_exact
 from tests.llm.test_near_dedup import brute as brute_near
@@ -55,3 +56,32 @@ def test_odd_rows_pass(spark, sf_dir, odd_rows):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf_dir)
     assert docs.count() > 0
+
+
+def test_small_tables_are_few_files(spark, sf_dir, monkeypatch):
+    """Where a session deals everything to many tasks, the stages don't write their tables in between as so many files."""
+    files = {}
+
+    def counted(df, tag):
+        out = storage.materialize(df, tag)
+        files[tag] = max(files.get(tag, 0), len(out.inputFiles()))
+        return out
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = [{r["doc_id"] for r in f(docs).collect()} for f in (exact_dedup.keep_winners, near_dedup.keep_one_per_group)]
+    for module in (exact_dedup, near_dedup):
+        monkeypatch.setattr(module, "materialize", counted)
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        after = [{r["doc_id"] for r in f(docs).collect()} for f in (exact_dedup.keep_winners, near_dedup.keep_one_per_group)]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert after == before
+    least = 2 * spark.sparkContext.defaultParallelism
+    late = {"digests", "found"}  # no bound is known before the first, and the second is as heavy as it is narrow
+    assert {t for t, n in files.items() if n > least} <= late, files
+    assert {"named", "gone", "verdicts", "classes", "buckets", "rooted"} <= files.keys()

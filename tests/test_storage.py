@@ -37,3 +37,12 @@ def test_scratch_tables_go_and_kept_ones_stay(spark):
     assert not os.path.isdir(path(d))
     e = storage.materialize(spark.range(2), "e")  # outside: stays
     assert e.count() == 2
+
+
+def test_a_small_table_is_written_by_few_tasks(spark):
+    least = 2 * spark.sparkContext.defaultParallelism
+    few = storage.materialize(storage.sized(spark.range(0, 2000, 1, 100), 2000), "few")
+    assert len(few.inputFiles()) == least
+    assert sorted(r["id"] for r in few.collect()) == list(range(2000))
+    assert len(storage.materialize(storage.sized(spark.range(0, 2000, 1, 20), 20 * storage.ROWS), "many").inputFiles()) == 20
+    assert len(storage.materialize(storage.sized(spark.range(0, 2000, 1, 20), None), "unknown").inputFiles()) == 20
