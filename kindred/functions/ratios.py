@@ -46,12 +46,12 @@ def partial_ratio(a: str, b: str) -> float:
     return best
 
 
-def _sorted(text: str) -> str:
+def sorted_words(text: str) -> str:
     return " ".join(sorted(text.split()))
 
 
 def token_sort_ratio(a: str, b: str) -> float:
-    return simple_ratio(_sorted(a), _sorted(b))
+    return simple_ratio(sorted_words(a), sorted_words(b))
 
 
 def _sets(a: str, b: str) -> tuple[set, str, str, str]:
@@ -78,7 +78,7 @@ def _partial_token_ratio(a: str, b: str) -> float:
     both, _, left, right = _sets(a, b)
     if both:
         return 100.0
-    return max(partial_ratio(_sorted(a), _sorted(b)), partial_ratio(left, right) if left and right else 0.0)
+    return max(partial_ratio(sorted_words(a), sorted_words(b)), partial_ratio(left, right) if left and right else 0.0)
 
 
 def weighted_ratio(a: str, b: str) -> float:
@@ -109,7 +109,7 @@ def similar_pairs(left: list[str], right: list[str], scorer: str, threshold: flo
     """Positions (i, j) with score > 100 * threshold; only i < j where both lists are the same one."""
     score, limit = SCORERS[scorer], np.float32(100 * threshold)
     if scorer == "token_sort_ratio":
-        left, right, score = [_sorted(x) for x in left], [_sorted(x) for x in right], simple_ratio
+        left, right, score = [sorted_words(x) for x in left], [sorted_words(x) for x in right], simple_ratio
     bags = (_bags(left), _bags(right)) if scorer in BOUNDED else None
     sizes = np.array([len(x) for x in right])
     out_i, out_j = [], []

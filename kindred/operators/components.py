@@ -3,7 +3,7 @@
 Each task first joins the nodes of its own edges (union-find, FOREST nodes at a time) and passes on one edge per node, which
 keeps what is connected. What several tasks hold of a component is joined by the star rounds: two joins and two
 aggregations on edges; min() is aggregated before the shuffle, and the joins are against one row per node, so a node with
-very many neighbours can be split. Rounds are written to shared storage. Their number grows with the logarithm of the
+very many neighbours can be split; none of these tables is sent to the driver, however small its file. Rounds are written to shared storage. Their number grows with the logarithm of the
 longest path between what tasks have joined.
 """
 
@@ -19,7 +19,8 @@ from kindred.plans.storage import materialize, prepare, scratch
 FOREST, FEW = 1_000_000, 200_000
 
 
-def _forest(batches):
+def forest(batches):
+    """Edges (u, v) as (node, root), one for each node but the roots, for FOREST nodes at a time."""
     parent: dict[int, int] = {}
 
     def find(x):
@@ -46,7 +47,7 @@ def _forest(batches):
 def _joined(edges: DataFrame) -> DataFrame:
     """edges (u, v) as (u, v) with v < u, at most one for each node and task. FEW edges are joined by one task, more by as many as they have."""
     few = edges.limit(FEW + 1).count() <= FEW
-    out = materialize((edges.coalesce(1) if few else edges).select("u", "v").mapInArrow(_forest, "u long, v long"), "edges")
+    out = materialize((edges.coalesce(1) if few else edges).select("u", "v").mapInArrow(forest, "u long, v long"), "edges")
     out.joined = few
     return out
 
@@ -54,14 +55,14 @@ def _joined(edges: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = materialize(both.groupBy("u").agg(F.min("v").alias("m")), "least")
-    out = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+    out = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
     return out.where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "down")
     least = materialize(down.groupBy("u").agg(F.min("v").alias("m")), "least")
-    side = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    side = down.join(least.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return side.unionByName(least.select("u", F.col("m").alias("v")))
 
 

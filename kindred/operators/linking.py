@@ -9,23 +9,27 @@ text travels with its rows as a digest only.
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kindred.functions import minhash
-from kindred.functions.ratios import BOUNDED, similar_pairs
-from kindred.operators.components import connected_components
+from kindred.functions.ratios import BOUNDED, similar_pairs, sorted_words
+from kindred.operators.components import connected_components, forest
 from kindred.operators.rules import WEIGHTING, Rule
 from kindred.plans.storage import materialize
 
 #: Links up to this number are closed on the driver; beyond, by rounds of joins.
 FEW_LINKS = 100_000
 TILE = 1500
+#: Parts that a value may have where values meet by shared parts; beyond, they meet by other candidate joins.
+PARTS = 512
 
 
 def text_of(columns: str, preprocessors=(), placeholder: str | None = "na") -> Column:
@@ -65,9 +69,12 @@ def predicate_mask(rule: Rule, columns: str, preprocessors, placeholder: str, sc
 
 def close(links: DataFrame) -> DataFrame:
     """(node, root) for the nodes of links (u, v); root is the smallest node."""
-    links = materialize(links.select("u", "v").where("u <> v").distinct(), "links")
+    # What a task has found is joined there, so a node has one link a task at most (more only beyond the nodes that a forest holds).
+    links = materialize(links.select("u", "v").where("u <> v").mapInArrow(forest, "u long, v long"), "links")
     if links.limit(FEW_LINKS + 1).count() > FEW_LINKS:
-        return connected_components(links)
+        roots = connected_components(links).hint("merge")
+        roots.many = True
+        return roots
     parent: dict[int, int] = {}
 
     def find(x):
@@ -94,12 +101,55 @@ def _collapsed(keys: DataFrame, value: Column, text: bool = True) -> tuple[DataF
 
 def _grouped(rows: DataFrame, values: DataFrame, roots: DataFrame, alone: Column | None = None) -> DataFrame:
     """Rows with the root of their value; where `alone` holds, rows of one value aren't alike."""
-    found = values.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
+    found = values.join(roots.select(F.col("node").alias("of"), "root"), F.col("node") == F.col("of"), "left")
     found = found.select("__block", "k", F.coalesce("root", "node").alias("root"), (alone if alone is not None else F.lit(False)).alias("alone"))
+    if getattr(roots, "many", False):
+        found = found.hint("merge")  # compressed, such narrow rows may look few enough to be sent to the driver
     rooted = rows.alias("r").join(found.alias("f"), F.col("r.__block").eqNullSafe(F.col("f.__block")) & F.col("r.k").eqNullSafe(F.col("f.k")))
     return rooted.select("r.rid", "r.__block", "r.cid", F.when(F.col("f.alone"), F.col("r.rid")).otherwise(F.col("f.root")).alias("g"))
 
 
+def _meeting(parts: DataFrame) -> DataFrame:
+    """Links (u, v) that join values with a part in common; parts (__block, a, b, part, size, node) are for pairs of the sizes a <= b.
+
+    All of size a with a part are alike to all of size b with it, so each is linked to the first of the other side only: links grow
+    with the parts, however many values share one.
+    """
+    parts = materialize(parts, "parts")
+    least = lambda side: F.min(F.when(F.col("size") == F.col(side), F.col("node"))).alias(f"of_{side}")
+    firsts = parts.groupBy("__block", "a", "b", "part").agg(least("a"), least("b"), F.count("*").alias("n")).where("n > 1 AND of_a IS NOT NULL AND of_b IS NOT NULL")
+    p, f = parts.alias("p"), firsts.hint("merge").alias("f")  # compressed, it may look small enough to be sent to the driver
+    same = F.col("p.__block").eqNullSafe(F.col("f.__block")) & (F.col("p.a") == F.col("f.a")) & (F.col("p.b") == F.col("f.b")) & (F.col("p.part") == F.col("f.part"))
+    return p.join(f, same).select(F.when(F.col("p.size") == F.col("p.a"), F.col("f.of_b")).otherwise(F.col("f.of_a")).alias("u"), F.col("p.node").alias("v"))
+
+
+def _needs(sizes: list[int], need, cost) -> tuple[dict[int, list[tuple[int, int, int]]], set[int]]:
+    """What values of each size must share with others: size -> (a, b, number) for the pairs of sizes a <= b that can be alike.
+
+    need(a, b) is how much a pair must share at least, or None; cost(size, number) how many parts that makes. Pairs with a size that
+    would have more than PARTS in all are left out; the sizes in such pairs are the second result.
+    """
+    sizes, pairs = sorted(sizes), []
+    total = dict.fromkeys(sizes, 0)
+    for i, a in enumerate(sizes):
+        for b in sizes[i:]:
+            if (n := need(a, b)) is None:
+                break  # b is too long for a, and so is what is longer
+            pairs.append((a, b, n))
+            for s in {a, b}:
+                if total[s] <= PARTS:
+                    total[s] += cost(s, n)
+    by: dict[int, list[tuple[int, int, int]]] = {}
+    rest: set[int] = set()
+    for a, b, n in pairs:
+        if max(total[a], total[b]) > PARTS:
+            rest |= {a, b}
+        else:
+            for s in {a, b}:
+                by.setdefault(s, []).append((a, b, n))
+    return by, rest
+
+
 def _tiled(values: DataFrame, function, size: Column | None = None, ratio: float = 0.0, gap: int | None = None) -> DataFrame:
     """Links (u, v) from function(left values, right values, same) on tiles of distinct values of one block.
 
@@ -138,12 +188,68 @@ def _tiled(values: DataFrame, function, size: Column | None = None, ratio: float
     return dealt.groupBy("meet").applyInPandas(run, "u long, v long")
 
 
+def _choices(size: int, number: int) -> int:
+    """Ways to choose, or more than PARTS."""
+    return math.comb(size, number) if min(number, size - number) < 10 else PARTS + 1
+
+
+def _subsequences(values: DataFrame, threshold: float) -> tuple[DataFrame, set[int]]:
+    """Links of texts (v) by subsequences in common, and the lengths among which pairs are left to be compared.
+
+    A ratio above the threshold is a common subsequence of a certain length or more. Where it leaves out few characters, a text's
+    subsequences of that length are few, and two texts share one exactly if they are alike.
+    """
+    limit = np.float32(100 * threshold)
+
+    def need(a, b):
+        if not a + b:
+            return 0
+        n = max(0, int(threshold * (a + b) / 2) - 1)
+        while n <= a and not np.float32(200.0 * n / (a + b)) > limit:
+            n += 1
+        return n if n <= a else None
+
+    by, rest = _needs([r[0] for r in values.select(F.length("v")).distinct().collect()], need, _choices)
+
+    def cut(batches):
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            for low in range(0, len(texts), 500):
+                rows, a, b, parts, sizes = [], [], [], [], []
+                for row, text in enumerate(texts[low : low + 500], low):
+                    found = {}
+                    for x, y, n in by.get(len(text), ()):
+                        if n not in found:
+                            found[n] = list({"".join(c) for c in itertools.combinations(text, n)})
+                        k = len(found[n])
+                        rows += [row] * k
+                        a += [x] * k
+                        b += [y] * k
+                        parts += found[n]
+                        sizes += [len(text)] * k
+                at = pa.array(rows, pa.int64())
+                own = [batch.column(0).take(at), batch.column(1).take(at)]
+                yield pa.RecordBatch.from_arrays([*own, *(pa.array(x, pa.int32()) for x in (a, b, sizes)), pa.array(parts, pa.string())], names)
+
+    names = ["__block", "node", "a", "b", "size", "part"]
+    schema = T.StructType([T.StructField("__block", values.schema["__block"].dataType), T.StructField("node", T.LongType())])
+    for n in names[2:]:
+        schema.add(n, T.StringType() if n == "part" else T.IntegerType())
+    return _meeting(values.select("__block", "node", "v").mapInArrow(cut, schema)), rest
+
+
 def _fuzzy(keys, value, threshold, scorer):
     rows, values = _collapsed(keys, value)
+    texts = values
+    if scorer == "token_sort_ratio":  # the ratio of sorted words
+        texts, scorer = values.withColumn("v", F.udf(sorted_words, "string", useArrow=False)("v")), "simple_ratio"
     function = lambda a, b, same: similar_pairs(a, b, scorer, threshold, same)
-    bounded = scorer in BOUNDED and scorer != "token_sort_ratio"
-    links = _tiled(values, function, F.length("v") if bounded else None, threshold / (2 - threshold) if bounded else 0.0)
     zero = F.col("v") == "" if scorer in ("quick_ratio", "weighted_ratio") else F.trim("v") == "" if scorer == "token_set_ratio" else None
+    if scorer not in BOUNDED:
+        return _grouped(rows, values, close(_tiled(texts, function)), zero)
+    links, rest = _subsequences(texts, threshold)
+    if rest:
+        links = links.unionByName(_tiled(texts.where(F.length("v").isin(*rest)), function, F.length("v"), threshold / (2 - threshold)))
     return _grouped(rows, values, close(links), zero)
 
 
@@ -213,11 +319,29 @@ def _token(c: Column, kind: T.DataType) -> Column:
     return F.concat(F.lit(f"{kind.typeName()}:"), c.cast("string"))
 
 
+def _subsets(values: DataFrame, by: dict[int, list[tuple[int, int, int]]]) -> DataFrame:
+    """The parts of sets (v) for _meeting: of each size in `by`, all choices of as many values as a pair must share."""
+    digests = values.select("__block", "node", F.size("v").alias("size"), F.transform("v", lambda x: F.unhex(F.sha2(x, 256))).alias("v"))
+    found = F.array().cast("array<struct<a:int,b:int,part:binary>>")
+    for size, own in by.items():
+        part = {n: [F.unhex(F.sha2(F.concat(*[F.col("v")[i] for i in c]), 256)) for c in itertools.combinations(range(size), n)] for n in {n for _, _, n in own}}
+        parts = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), x.alias("part")) for a, b, n in own for x in part[n]])
+        found = F.when(F.col("size") == size, parts).otherwise(found)
+    return digests.select("__block", "node", "size", F.explode(found).alias("p")).select("__block", "node", "size", "p.a", "p.b", "p.part")
+
+
 def _jaccard(keys, columns, schema, threshold):
     tokens = F.array(*[_token(F.col(f"`{c}`"), schema[c].dataType) for c in columns])
     value = F.array_sort(F.array_distinct(F.filter(tokens, lambda x: x.isNotNull())))
     rows, values = _collapsed(keys, value, False)
     empty = F.size("v") == 0
+
+    def need(a, b):
+        return next((n for n in range(1, a + 1) if n / (a + b - n) > threshold), None)
+
+    by, rest = _needs([r[0] for r in values.select(F.size("v")).where(~empty).distinct().collect()], need, _choices)
+    if not rest:
+        return _grouped(rows, values, close(_meeting(_subsets(values, by))), empty)
     often = values.select("__block", F.explode("v").alias("token")).groupBy("__block", "token").count()
     posts = values.select("__block", "node", F.size("v").alias("size"), F.explode("v").alias("token")).alias("p")
     posts = posts.join(often.alias("o"), F.col("p.__block").eqNullSafe(F.col("o.__block")) & (F.col("p.token") == F.col("o.token"))).select("p.*", "o.count")
