@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import kindred as kd
+from kindred.functions.ratios import SCORERS
 from kindred.operators import linking
 
 
@@ -59,3 +60,20 @@ def test_jaccard_against_all_pairs(spark, monkeypatch, parts, threshold):
     alike = lambda i, j: bool(sets[i] & sets[j]) and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) > threshold
     df = spark.createDataFrame(rows, "id long, p string, q string, r string, s string")
     assert ids(df, kd.jaccard(threshold), ("p", "q", "r", "s")) == roots(60, alike)
+
+
+def test_fuzzy_links_grow_with_rows(spark, counted):
+    df = spark.range(400).select("id", F.format_string("Customer#%09d", "id").alias("name"))
+    assert ids(df, kd.fuzzy(0.9), "name") == [0] * 400
+    assert counted[0] <= 18 * 400
+
+
+@pytest.mark.parametrize("parts", [512, 12, 0])
+@pytest.mark.parametrize("scorer", ["simple_ratio", "quick_ratio", "token_sort_ratio"])
+def test_fuzzy_against_all_pairs(spark, monkeypatch, parts, scorer):
+    monkeypatch.setattr(linking, "PARTS", parts)
+    r = random.Random(5)
+    texts = ["", " ", *("".join(r.choice("ab é") for _ in range(r.randrange(9))) for _ in range(70))]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    alike = lambda i, j: texts[i] == texts[j] and (texts[i] != "" or scorer != "quick_ratio") or SCORERS[scorer](texts[i], texts[j]) > 70
+    assert ids(df, kd.fuzzy(0.7, scorer=scorer), "t") == roots(len(texts), alike)
