@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.operators.linking import groups, own_key, predicate_mask
+from kindred.operators.linking import FEW_LINKS, groups, own_key, predicate_mask
 from kindred.operators.rules import Rule
 from kindred.plans.storage import materialize
 
@@ -86,11 +86,13 @@ def moved(found: DataFrame, keep: str) -> DataFrame:
     The groups, a few numbers and a digest a row, are written once, so that long texts are read and joined only once.
     """
     found = materialize(found, "groups")
+    many = found.count() > FEW_LINKS  # then nothing of it is to be sent to the driver, however small it looks when compressed
     best = (F.min("rid"), F.min_by("cid", "rid")) if keep == "first" else (F.max("rid"), F.max_by("cid", "rid"))
     reps = found.groupBy("__block", "g").agg(best[0].alias("rep"), best[1].alias("new"), F.count("*").alias("n")).where("n > 1").drop("n")
-    a, b = found.alias("a"), reps.alias("b")
+    a, b = found.alias("a"), (reps.hint("merge") if many else reps).alias("b")
     met = a.join(b, F.col("a.__block").eqNullSafe(F.col("b.__block")) & F.col("a.g").eqNullSafe(F.col("b.g")))
-    return met.select("a.rid", "b.rep", "b.new")
+    met = met.select("a.rid", "b.rep", "b.new")
+    return met.hint("merge") if many else met
 
 
 def changes(units: list[Unit], state: DataFrame, keep: str, placeholder: str, cascade: bool) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import kindred as kd
 from kindred.functions.ratios import SCORERS
-from kindred.operators import linking
+from kindred.operators import linking, steps
 
 
 @pytest.fixture
@@ -77,3 +77,16 @@ def test_fuzzy_against_all_pairs(spark, monkeypatch, parts, scorer):
     df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
     alike = lambda i, j: texts[i] == texts[j] and (texts[i] != "" or scorer != "quick_ratio") or SCORERS[scorer](texts[i], texts[j]) > 70
     assert ids(df, kd.fuzzy(0.7, scorer=scorer), "t") == roots(len(texts), alike)
+
+
+def test_many_links_stay_off_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(linking, "FEW_LINKS", 50)
+    monkeypatch.setattr(steps, "FEW_LINKS", 50)
+
+    @kd.register
+    def neighbours(array):
+        yield from zip(range(len(array)), range(1, len(array)))
+
+    done = kd.dedupe(spark.range(300).withColumn("t", F.lit("x")), row_id="id").apply(neighbours()).canonicalize("t").collect()
+    assert "Broadcast" not in done._jdf.queryExecution().executedPlan().toString()
+    assert {r["canonical_id"] for r in done.collect()} == {0}
