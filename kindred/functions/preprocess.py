@@ -7,7 +7,6 @@ import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,7 +27,12 @@ class Preprocessor:
 
 def strip() -> Preprocessor:
     """Remove Unicode white space at both ends."""
-    return Preprocessor("strip()", lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
+
+    def run(c: Column) -> Column:  # the pattern is slow on long texts, so only those with white space at an end meet it
+        ends = F.concat(F.substring(c, 1, 1), F.substring(c, -1, 1))
+        return F.when(ends.rlike(r"(?U)\s"), F.regexp_replace(c, r"(?U)^\s+|\s+$", "")).otherwise(c)
+
+    return Preprocessor("strip()", run)
 
 
 def lower() -> Preprocessor:
@@ -45,23 +49,31 @@ def remove_punctuation() -> Preprocessor:
     return Preprocessor("remove_punctuation()", lambda c: F.regexp_replace(c, r"[^\w\s]+", ""))
 
 
-def _pandas(function):
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(function, na_action="ignore")
+def _python(function):
+    """A Python function of a text as a column function; texts come by the hundred, not in large Arrow batches, however long they are."""
+    return F.udf(lambda t: None if t is None else function(t), "string", useArrow=False)
+
+
+#: The first character that each Unicode form can change, or that can change with one before it.
+_FORMS = {"NFC": 0x300, "NFD": 0xC0, "NFKC": 0xA0, "NFKD": 0xA0}
+
 
-    return run
+def _normalized(c: Column, form: str) -> Column:
+    """c in a Unicode form; only texts that the form can change go through Python."""
+    changes = c.rlike(f"[^\\x{{0}}-\\x{{{_FORMS[form] - 1:X}}}]")
+    run = _python(lambda t: unicodedata.normalize(form, t))
+    return F.when(changes, run(F.when(changes, c))).otherwise(c)
 
 
 def normalize_unicode(form: str = "NFKD") -> Preprocessor:
-    if form not in ("NFC", "NFKC", "NFD", "NFKD"):
+    if form not in _FORMS:
         raise ValueError(f"unknown Unicode form {form!r}")
-    return Preprocessor(f"normalize_unicode(form={form!r})", lambda c: _pandas(lambda t: unicodedata.normalize(form, t))(c))
+    return Preprocessor(f"normalize_unicode(form={form!r})", lambda c: _normalized(c, form))
 
 
 def ascii_fold() -> Preprocessor:
     """Drop combining accents after compatibility decomposition."""
-    return Preprocessor("ascii_fold()", lambda c: F.regexp_replace(_pandas(lambda t: unicodedata.normalize("NFKD", t))(c), "[\\u0300-\\u036F]", ""))
+    return Preprocessor("ascii_fold()", lambda c: F.regexp_replace(_normalized(c, "NFKD"), "[\\u0300-\\u036F]", ""))
 
 
 # Common English function words.
@@ -113,7 +125,7 @@ def clean_name(name: str) -> str:
 
 
 def normalize_names() -> Preprocessor:
-    return Preprocessor("normalize_names()", lambda c: _pandas(clean_name)(c))
+    return Preprocessor("normalize_names()", lambda c: _python(clean_name)(c))
 
 
 _LEGAL = (
