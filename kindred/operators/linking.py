@@ -9,6 +9,7 @@ text travels with its rows as a digest only.
 from __future__ import annotations
 
 import functools
+import hashlib
 import itertools
 import math
 
@@ -28,6 +29,8 @@ from kindred.plans.storage import materialize
 #: Links up to this number are closed on the driver; beyond, by rounds of joins.
 FEW_LINKS = 100_000
 TILE = 1500
+#: Values of a tile of vectors at most.
+LARGE_TILE = 16_384
 #: Parts that a value may have where values meet by shared parts; beyond, they meet by other candidate joins.
 PARTS = 512
 
@@ -150,18 +153,20 @@ def _needs(sizes: list[int], need, cost) -> tuple[dict[int, list[tuple[int, int,
     return by, rest
 
 
-def _tiled(values: DataFrame, function, size: Column | None = None, ratio: float = 0.0, gap: int | None = None) -> DataFrame:
+def _tiled(values: DataFrame, function, size: Column | None = None, ratio: float = 0.0, gap: int | None = None, tile: int | None = None) -> DataFrame:
     """Links (u, v) from function(left values, right values, same) on tiles of distinct values of one block.
 
     With a size (of a few thousand kinds at most), only tiles meet whose sizes can satisfy min > ratio * max, or that are `gap`
-    apart at most. Pairs never leave a task unless they match.
+    apart at most. Pairs never leave a task unless they match. Every value is dealt once for each tile that its own meets, so larger
+    tiles (`tile` values, TILE if not given) mean fewer rows, but fewer and larger tasks.
     """
+    tile = tile or TILE
     sized = values.select("__block", "node", "v", (size if size is not None else F.lit(0)).cast("int").alias("size"))
     counts = sized.groupBy("__block", "size").agg(F.count("*").alias("n"))
     span = Window.partitionBy("__block").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
     # Consecutive sizes share a tile until it is full; a frequent size has tiles of its own.
-    tiles = counts.withColumn("parts", F.ceil(F.col("n") / TILE).cast("int")).withColumn("before", F.coalesce(F.sum("n").over(span), F.lit(0)))
-    tiles = tiles.select("__block", "size", "parts", F.floor(F.col("before") / TILE).cast("int").alias("group"))
+    tiles = counts.withColumn("parts", F.ceil(F.col("n") / tile).cast("int")).withColumn("before", F.coalesce(F.sum("n").over(span), F.lit(0)))
+    tiles = tiles.select("__block", "size", "parts", F.floor(F.col("before") / tile).cast("int").alias("group"))
     placed = sized.alias("s").join(tiles.alias("t"), F.col("s.__block").eqNullSafe(F.col("t.__block")) & (F.col("s.size") == F.col("t.size")))
     placed = placed.select("s.__block", "s.node", "s.v", "s.size", "t.group", F.pmod(F.xxhash64("s.node"), F.col("t.parts")).cast("int").alias("part"))
     placed = materialize(placed, "tiles")
@@ -279,15 +284,45 @@ def _cosine(keys, columns, schema, threshold):
         out = []
         for left, right in by.values():
             if left and right:
-                i, j = np.nonzero(unit([a[k] for k in left]) @ unit([b[k] for k in right]).T > threshold)
-                i, j = np.array(left)[i], np.array(right)[j]
-                keep = i < j if same else np.ones(len(i), bool)
-                out.append((i[keep], j[keep]))
+                i, j = _spanning(unit([a[k] for k in left]), unit([b[k] for k in right]), threshold, same)
+                out.append((np.array(left)[i], np.array(right)[j]))
         return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     zero = ~F.exists("v", lambda x: x != 0)
     angle, gap = _pivot(values.where(~zero), threshold)
-    return _grouped(rows, values, close(_tiled(values.where(~zero), function, angle, gap=gap)), zero)
+    # As many tiles as keep the cores busy, but no larger than a task can hold.
+    tile = max(TILE, min(LARGE_TILE, values.count() // 32))
+    return _grouped(rows, values, close(_tiled(values.where(~zero), function, angle, gap=gap, tile=tile)), zero)
+
+
+def _spanning(left: np.ndarray, right: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j) of similar unit vectors, no more than join what is alike: at most one for each vector and one for each join.
+
+    All pairs are compared; same says that left and right are the same vectors.
+    """
+    label = np.full(len(right), -1)  # the group of each vector on the right
+    first: list[int] = []  # a vector of each group
+    out_i, out_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at in range(0, len(left), 256):
+        alike = left[at : at + 256] @ right.T > threshold
+        if same:  # a vector is alike to itself, whatever rounding says
+            alike[np.arange(len(alike)), np.arange(at, at + len(alike))] = True
+        for i in np.flatnonzero(alike.sum(axis=1) > int(same)).tolist():
+            js = np.flatnonzero(alike[i])
+            own = label[js]
+            new = js[own < 0]
+            groups = np.unique(own[own >= 0]).tolist()
+            if not groups:
+                groups = [len(first)]
+                first.append(int(js[0]))
+            reach = np.array(sorted({*new.tolist(), *(first[g] for g in groups)}), np.int64)
+            out_i.append(np.full(len(reach), i + at))
+            out_j.append(reach)
+            label[new] = groups[0]
+            for g in groups[1:]:
+                label[label == g] = groups[0]
+    i, j = np.concatenate(out_i), np.concatenate(out_j)
+    return (i[i != j], j[i != j]) if same else (i, j)
 
 
 #: Steps of the half circle, and axes that are tried, for the angle by which cosine's tiles are cut.
@@ -362,19 +397,34 @@ def _jaccard(keys, columns, schema, threshold):
 
 
 def _lsh(keys, value, threshold, ngram, num_perm):
-    rows, values = _collapsed(keys, value)
     b, r = minhash.bands(threshold, num_perm)
 
-    @F.pandas_udf("array<binary>")
-    def banded(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [s.tobytes() for s in minhash.signature(t, ngram, num_perm)[: b * r].reshape(b, r)])
-
-    keyed = values.select("__block", "node", F.posexplode(banded("v")).alias("band", "key"))
-    keyed = materialize(keyed, "bands")
+    def banded(batches):
+        known: dict[bytes, bytes] = {}  # copies need no work
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                texts = part.column(3).to_pylist()
+                digests = [None if t is None else hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest() for t in texts]
+                new = {d: t or "" for d, t in zip(digests, texts) if d not in known}
+                least = minhash.signatures(list(new.values()), ngram, num_perm)[:, : b * r].astype("<u4")
+                known |= zip(new, (x.tobytes() for x in least))
+                bands = [known[d] for d in digests]
+                if len(known) > 20_000:
+                    known.clear()
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(digests, pa.binary()), pa.array(bands, pa.binary())], ["rid", "__block", "cid", "k", "bands"])
+
+    # Texts are read once, and neither dealt nor written: a row goes on with the digest and the min-hashes of its text.
+    picked = keys.select("rid", "__block", "cid", value.alias("v"))
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in picked.schema.fields[:3]), T.StructField("k", T.BinaryType()), T.StructField("bands", T.BinaryType())])
+    signed = materialize(picked.mapInArrow(banded, schema), "signed")
+    values = materialize(signed.groupBy("__block", "k").agg(F.min("rid").alias("node"), F.first("bands").alias("bands")), "values")
+    cut = F.array(*[F.substring("bands", 4 * r * i + 1, 4 * r) for i in range(b)])
+    keyed = materialize(values.select("__block", "node", F.posexplode(cut).alias("band", "key")), "bands")
     first = materialize(keyed.groupBy("__block", "band", "key").agg(F.min("node").alias("u"), F.count("*").alias("n")).where("n > 1"), "buckets")
     k, f = keyed.alias("k"), first.alias("f")
     links = k.join(f, F.col("k.__block").eqNullSafe(F.col("f.__block")) & (F.col("k.band") == F.col("f.band")) & (F.col("k.key") == F.col("f.key"))).select("f.u", F.col("k.node").alias("v"))
-    return _grouped(rows, values, close(links))
+    return _grouped(signed.drop("bands"), values, close(links))
 
 
 def _tfidf(keys, value, threshold, ngram, topn, **weighting):
