@@ -337,11 +337,12 @@ def _pivot(values: DataFrame, threshold: float) -> tuple[Column, int]:
     """
     most = F.array_max(F.transform("v", F.abs))
     scaled = F.transform("v", lambda x: x / most)
-    norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda t, x: t + x * x))
-    to = lambda i: F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(F.get(scaled, F.lit(i)), F.lit(0.0)) / norm)))
-    spread = values.agg(*[F.stddev_pop(to(i)).alias(str(i)) for i in range(AXES)]).first()
+    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda t, x: t + x * x))
+    to = lambda c, n, i: F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(F.get(c, F.lit(i)), F.lit(0.0)) / n)))
+    once = values.select(scaled.alias("s")).select("s", norm(F.col("s")).alias("n"))  # not once for each axis
+    spread = once.agg(*[F.stddev_pop(to(F.col("s"), F.col("n"), i)).alias(str(i)) for i in range(AXES)]).first()
     best = max(range(AXES), key=lambda i: spread[i] or 0.0)
-    return F.floor(to(best) / math.pi * STEPS), math.ceil(math.acos(max(-1.0, min(1.0, threshold))) / math.pi * STEPS) + 2
+    return F.floor(to(scaled, norm(scaled), best) / math.pi * STEPS), math.ceil(math.acos(max(-1.0, min(1.0, threshold))) / math.pi * STEPS) + 2
 
 def _token(c: Column, kind: T.DataType) -> Column:
     """A value as text that tells kinds apart; equal numbers and booleans are equal whatever their type."""
