@@ -516,13 +516,13 @@ def own_key(rule: Rule, columns, preprocessors, placeholder: str) -> Column | No
 
 
 def groups(rule: Rule, columns, preprocessors, keys: DataFrame, placeholder: str) -> DataFrame:
-    """(rid, __block, cid, g) of the rows of keys that can be alike under the rule."""
+    """(rid, __block, cid, g) of the rows of keys that can be alike under the rule; rows whose g is null are alike to nothing."""
     a, schema = rule.args, keys.schema
     if rule.predicate:
         return keys.where(predicate_mask(rule, columns, preprocessors, placeholder, schema)).select("rid", "__block", "cid", F.lit(1).alias("g"))
     own = own_key(rule, columns, preprocessors, placeholder)
     if own is not None:
-        return keys.select("rid", "__block", "cid", own.alias("g")).where("g IS NOT NULL")
+        return keys.select("rid", "__block", "cid", own.alias("g"))  # a filter here would clean and hash every text twice
     value = text_of(columns, preprocessors, placeholder) if isinstance(columns, str) else None
     if rule.kind == "fuzzy":
         return _fuzzy(keys, value, a["threshold"], a["scorer"])

@@ -87,6 +87,7 @@ def moved(found: DataFrame, keep: str) -> DataFrame:
     """
     found = materialize(found, "groups")
     many = found.count() > FEW_LINKS  # then nothing of it is to be sent to the driver, however small it looks when compressed
+    found = found.where("g IS NOT NULL")
     best = (F.min("rid"), F.min_by("cid", "rid")) if keep == "first" else (F.max("rid"), F.max_by("cid", "rid"))
     reps = found.groupBy("__block", "g").agg(best[0].alias("rep"), best[1].alias("new"), F.count("*").alias("n")).where("n > 1").drop("n")
     a, b = found.alias("a"), (reps.hint("merge") if many else reps).alias("b")

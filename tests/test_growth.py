@@ -165,3 +165,13 @@ def test_spanning_links_join_what_all_pairs_join(same, threshold):
         return roots(n, lambda p, q: (q, p) in found)
 
     assert groups(zip(i.tolist(), j.tolist())) == groups(np.argwhere(alike).tolist())
+
+
+def test_exact_cleans_a_text_once(spark, monkeypatch):
+    plans, write = [], steps.materialize
+    monkeypatch.setattr(steps, "materialize", lambda df, tag: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), write(df, tag))[1])
+    df = spark.createDataFrame([(0, "a b"), (1, "ab"), (2, None), (3, "c"), (4, "na")], "id long, t string")
+    pipe = kd.pipeline(preprocessors=[_p.alnum()]).step(kd.col("t").exact())
+    got = kd.dedupe(df, row_id="id").apply(pipe).canonicalize().collect().orderBy("id").collect()
+    assert [r["canonical_id"] for r in got] == [0, 0, 2, 3, 2]
+    assert [p.count("regexp_replace") for p in plans] == [1]
